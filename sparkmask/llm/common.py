@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -29,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """spark, whose Python workers find this package where the driver has it; clusters use --py-files or an install."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage so that a lost executor costs a re-read only."""
 
@@ -83,10 +93,6 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-#: Odd multipliers from the golden ratio's fraction; position j of a window has the j-th.
-MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) & (2**64 - 1) | 1 for j in range(16)], np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads low and high bits (the murmur finaliser)."""
     x = x ^ (x >> np.uint64(33))
@@ -96,6 +102,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Unrelated odd multipliers, one for each position of a window: related ones would let windows of repeated words collide.
+MULTIPLIERS = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of the windows of `size` word hashes; none if there are fewer words."""
     n = len(words) - size + 1

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import importlib
 
+from .common import importable
+
 #: Query: module and function.
 OPERATORS = {
+    "op2_minhash_dedup": ("near_duplicates", "op2"),
     "op5_winnowing": ("fingerprints", "op5"),
     "op6_ring_shards": ("sharding", "op6"),
 }
@@ -14,12 +17,12 @@ OPERATORS = {
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus_pipeline.run(importable(spark), sf_dir)
 
 
 def queries() -> dict:
     def of(module: str, function: str):
-        return lambda spark, sf_dir: getattr(importlib.import_module(f"{__package__}.{module}"), function)(spark, sf_dir)
+        return lambda spark, sf_dir: getattr(importlib.import_module(f"{__package__}.{module}"), function)(importable(spark), sf_dir)
 
     return {name: of(*where) for name, where in OPERATORS.items()}
 
