@@ -11,6 +11,7 @@ OPERATORS = {
     "op2_minhash_dedup": ("near_duplicates", "op2"),
     "op3_quality_rules": ("quality", "op3"),
     "op4_pack_sequences": ("packing", "op4"),
+    "op7_toxicity": ("toxicity", "op7"),
     "op5_winnowing": ("fingerprints", "op5"),
     "op6_ring_shards": ("sharding", "op6"),
 }
