@@ -12,6 +12,8 @@ OPERATORS = {
     "op3_quality_rules": ("quality", "op3"),
     "op4_pack_sequences": ("packing", "op4"),
     "op7_toxicity": ("toxicity", "op7"),
+    "op8_extract_html": ("pages", "op8"),
+    "op9_class_lm": ("language_model", "op9"),
     "op5_winnowing": ("fingerprints", "op5"),
     "op6_ring_shards": ("sharding", "op6"),
 }
