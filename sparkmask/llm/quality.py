@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, WordHashes, bounded, table, window_hashes
 
@@ -82,6 +83,22 @@ def to_signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def content_key(doc_id, host, text: bytes | None) -> int:
+    """64 bits that tell rows of different id, host or text apart; repeated rows have one key."""
+    return to_signed(xxhash.xxh3_64_intdigest(repr((doc_id, host, text is None)).encode() + (text or b"")))
+
+
+def with_key(docs: DataFrame, into: str) -> DataFrame:
+    """All columns of docs and the content key of doc_id, source and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([content_key(*r) for r in rows], pa.int64())], [*batch.schema.names, into])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, LongType())]))
+
+
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document: its base counts, a key of its content, and its lines as arrays."""
     for batch in batches:
@@ -94,7 +111,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(base, counts, strict=True):
                 column.append(value)
             family.append(to_signed(fam))
-            key.append(to_signed(xxhash.xxh3_64_intdigest(repr((doc_id, host, text is None)).encode() + (text or b""))))
+            key.append(content_key(doc_id, host, text))
             lines.append([to_signed(x) for x, _ in found])
             words.append([n for _, n in found])
         yield pa.RecordBatch.from_arrays(

@@ -8,12 +8,14 @@ from .common import importable
 
 #: Query: module and function.
 OPERATORS = {
+    "op1_license_scan": ("licenses", "op1"),
     "op2_minhash_dedup": ("near_duplicates", "op2"),
     "op3_quality_rules": ("quality", "op3"),
     "op4_pack_sequences": ("packing", "op4"),
     "op7_toxicity": ("toxicity", "op7"),
     "op8_extract_html": ("pages", "op8"),
     "op9_class_lm": ("language_model", "op9"),
+    "op10_sentencepiece": ("subwords", "op10"),
     "op5_winnowing": ("fingerprints", "op5"),
     "op6_ring_shards": ("sharding", "op6"),
 }
@@ -29,7 +31,7 @@ def queries() -> dict:
     def of(module: str, function: str):
         return lambda spark, sf_dir: getattr(importlib.import_module(f"{__package__}.{module}"), function)(importable(spark), sf_dir)
 
-    return {name: of(*where) for name, where in OPERATORS.items()}
+    return {name: of(*where) for name, where in OPERATORS.items()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
