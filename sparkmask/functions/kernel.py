@@ -14,6 +14,7 @@ import hashlib
 import hmac
 import struct
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,8 +186,6 @@ def sql_integer_bytes(column: str) -> str:
 
 
 def nfc_udf():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfc(x: pd.Series) -> pd.Series:
         return x.str.normalize("NFC")
