@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmask.llm import near_duplicates, packing, quality, toxicity
-from sparkmask.llm.common import Scratch, bounded, importable, table
+from sparkmask.llm.common import Scratch, bounded, fresh, importable, table
 
 #: SQL can express none of the four stages whole (a trained model, minwise trees, a tokenizer); tests use brute force.
 ORACLE_SQL = None
@@ -20,16 +20,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the training rows of `labels`, doesn't predict toxic."""
     importable(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.training())
-    score = next(x for x in ("score", "toxicity_score", "_toxicity_score") if x not in docs.columns)
+    score = fresh(docs, "score")
     return toxicity.with_scores(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     importable(spark)
-    bad = quality.judged(docs).where("not kept").select(F.col("key").alias("_key")).distinct()
+    key = fresh(docs, "key")
+    bad = quality.judged(docs).where("not kept").select(F.col("key").alias(key)).distinct()
     bad = Scratch(spark, "sound").write(bad, "rejected")
-    return quality.with_key(docs, "_key").join(bounded(bad), "_key", "left_anti").select(*docs.columns)
+    return quality.with_key(docs, key).join(bounded(bad), key, "left_anti").select(*docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +38,14 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
     scratch = Scratch(spark, "single")
     found = near_duplicates.near_duplicates(docs)
-    gone = scratch.write(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    again = scratch.write(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
-    kept = docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    a, b = fresh(docs, "gone"), fresh(docs, "again")
+    gone = scratch.write(found.where("not kept").select(F.col("doc_id").alias(a)).distinct(), "gone")
+    again = scratch.write(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias(b)), "again")
+    kept = docs.join(bounded(gone), F.col("doc_id") == F.col(a), "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(bounded(again), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(bounded(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    once = kept.join(bounded(again), F.col("doc_id") == F.col(b), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(bounded(again), F.col("doc_id") == F.col(b), "left_anti").unionByName(once)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Each page is read into elements with their style, the path of tags and classes f
 a host are merged: for every style and page, the tree notes how the element is presented (its children's
 styles) and what it contains (its text). The importance of a style is the larger of the two
 distributions' entropies, as a share of the entropy if every page differed: 0 where all pages are alike,
-as for a notice that each page shows, 1 where no two are. Branches whose style occurs on `pages`
+as for a notice that each page shows, 1 where no two are. Branches (of block elements) whose style occurs on `n_pages`
 pages of the host at least and has an importance below `least` are removed from each page.
 
 Presentation also has a prior, since entropy can't see boilerplate that changes from page to page (menus,
@@ -177,7 +177,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shown: dict[str, list[str]] = {}
             filled: dict[str, list[str]] = {}
             for e in elements:
-                if e.parent is not None:
+                if e.tag in BLOCK:  # a word in bold that every page has is part of its sentence
                     shown.setdefault(e.style, []).append(" ".join(dict.fromkeys(e.kids)))
                     filled.setdefault(e.style, [])
             for e, t in runs:
