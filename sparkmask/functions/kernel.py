@@ -148,6 +148,8 @@ def slice_number(digest: Column, first_byte: int, n_bytes: int) -> Column:
 def index_of(digest: Column, size: int) -> Column:
     """The index that a digest's first 8 bytes give in a pool (long, from 0)."""
     check_pool(size)
+    if size < 2**31:  # two halves by Horner's rule stay in longs
+        return (slice_number(digest, 0, 4) % size * F.lit(2**32 % size) + slice_number(digest, 4, 4)) % size
     return (slice_number(digest, 0, 8) % F.lit(size).cast("decimal(20,0)")).cast("long")
 
 
@@ -193,6 +195,13 @@ def nfc_udf():
     return nfc
 
 
+def value_list(values: list) -> Column:
+    """Values as one literal array; texts travel as one string that the optimizer splits once."""
+    if values and all(isinstance(v, str) and "\x1f" not in v for v in values):
+        return F.split(F.lit("\x1f".join(values)), "\x1f")
+    return F.array(*[F.lit(v) for v in values])
+
+
 def canonical_column(column: Column, kind: T.DataType, assume_utc: bool = False, nfc: bool = False) -> Column:
     """The canonical bytes of a column, by its type. nfc: whether texts may need normalising (see `needs_nfc`)."""
     if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):

@@ -11,7 +11,7 @@ from ..errors import MaskError
 from ..functions import words
 from ..functions.expressions import Translator
 from ..functions.identifiers import IDENTIFIERS, modulo
-from ..functions.kernel import Kernel, integer_bytes, slice_number, unit
+from ..functions.kernel import Kernel, integer_bytes, slice_number, unit, value_list
 from .strategies import CDF_STEPS, cdf, identifier
 
 ROW = "_row"
@@ -50,7 +50,7 @@ def faker(d: Column, provider: str, kernel: Kernel, o: dict) -> Column:
     if provider == "uuid":
         return F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.concat(F.lit("4"), F.substring(d, 14, 3)), F.concat(F.lit("a"), F.substring(d, 18, 3)), F.substring(d, 21, 12))
     values = words.pool(provider, int(o.get("pool_size", 2000)), kernel.seed, options=o)
-    return F.element_at(F.array(*map(F.lit, values)), (modulo(d, 0, 8, len(values)) + 1).cast("int"))
+    return F.element_at(value_list(values), (modulo(d, 0, 8, len(values)) + 1).cast("int"))
 
 
 def from_bins(edges: list[float], counts: list[int], u: Column, v: Column) -> Column:

@@ -20,7 +20,7 @@ from ..functions import fpe as fpes
 from ..functions import words
 from ..functions.expressions import Translator, java_format
 from ..functions.identifiers import IDENTIFIERS
-from ..functions.kernel import Kernel, canonical_column, index_of, slice_number
+from ..functions.kernel import Kernel, canonical_column, index_of, slice_number, value_list
 
 #: Weighted categories are resolved to this many equal steps.
 CDF_STEPS = 1_000_000
@@ -42,11 +42,17 @@ class Context:
     pool_size: int = 10_000
     row_key: Column | None = None
     columns: tuple[str, ...] = ()
+    inner: dict[str, Column] | None = None
 
     def digest(self, column: Column, kind: T.DataType) -> Column:
         if self.namespace is None:
             raise MaskError("deterministic_namespace_missing", self.column)
-        return self.kernel.digest(self.namespace, canonical_column(column, kind, bool(self.options.get("assume_utc")), self.nfc))
+        out = self.kernel.digest(self.namespace, canonical_column(column, kind, bool(self.options.get("assume_utc")), self.nfc))
+        if self.inner is None:
+            return out
+        name = f"_digest_{len(self.inner)}"  # made in an inner projection, so that what slices it twice computes it once
+        self.inner[name] = out
+        return F.col(name)
 
     def row_draw(self, call: int = 0) -> Column:
         """A digest of the row's key: what non-deterministic draws use instead of a generator with state."""
@@ -133,7 +139,7 @@ def cdf(weights: list[float]) -> list[int]:
 
 
 def pick(index: Column, values: list) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(value_list(values), (index + 1).cast("int"))
 
 
 def weighted(step: Column, values: list, weights: list[float]) -> Column:

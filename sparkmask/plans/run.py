@@ -52,19 +52,19 @@ def mask_columns(plan: Plan, table: str, df: DataFrame) -> DataFrame:
     for c in mine:
         ctx = context(plan, table, c, df, c.name in rewrite)
         kind = df.schema[c.name].dataType
+        if c.strategy in ("categorical", "faker", "date_shift", "composite"):
+            ctx.inner = inner
         if c.strategy in ("shuffle",) or (c.strategy == "faker" and c.cardinality_mode != "reuse"):
             continue
         if c.strategy == "composite":
-            d = f"_digest_{c.name}"
-            inner[d] = ctx.digest(F.col(c.name), kind)
-            made = composite.bundle(F.col(d), c.provider, c.provider_config)
+            made = composite.bundle(ctx.digest(F.col(c.name), kind), c.provider, c.provider_config)
             plain.update({out: F.when(F.col(c.name).isNotNull(), made[k]) for out, k in zip([c.name, *c.coherent_with], made, strict=True)})
             continue
         if c.strategy == "date_shift" and "date_format" not in ctx.options:
             ctx.options["date_format"] = strategies.detect_format(df, c.name)
         masked = strategies.strategy(c.strategy)(F.col(f"`{c.name}`"), kind, ctx)
         if c.when:
-            masked = strategies.gate(transforms.predicate(df, c.when, "when"), masked, F.col(f"`{c.name}`").cast(masked_type(df, masked)))
+            masked = strategies.gate(transforms.predicate(df, c.when, "when"), masked, F.col(f"`{c.name}`").cast(masked_type(df.select("*", *[v.alias(k) for k, v in inner.items()]), masked)))
         plain[c.name] = masked
     out = df.select("*", *[v.alias(k) for k, v in inner.items()]) if inner else df
     out = out.select(*[plain[x].alias(x) if x in plain else F.col(f"`{x}`") for x in df.columns])
