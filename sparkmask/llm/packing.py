@@ -125,11 +125,11 @@ def plan(counts: dict[int, int], most: int, bins: int = 64, parts: int = 3) -> l
     if not left:
         return runs
     width = -(-most // bins)
-    bins = -(-most // width)
+    full = most // width  # classes that fill a sequence even if all their lengths are the class's most
     by_class: dict[int, list[int]] = defaultdict(list)
     for n in sorted(left):
         by_class[-(-n // width)].append(n)
-    found = [p for p in patterns(bins, parts) if all(c in by_class for c in p)]
+    found = [p for p in patterns(full, parts) if all(c in by_class for c in p)]
     open_by_room: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
 
     def close(n: int, lengths: list[int]) -> None:
@@ -141,11 +141,11 @@ def plan(counts: dict[int, int], most: int, bins: int = 64, parts: int = 3) -> l
 
     smallest = min(left)
     if found:
-        a = np.zeros((bins + 1, len(found)))
+        a = np.zeros((full + 2, len(found)))
         for j, p in enumerate(found):
             for c in p:
                 a[c, j] += 1
-        b = np.zeros(bins + 1)
+        b = np.zeros(full + 2)
         for c, ns in by_class.items():
             b[c] = sum(left[n] for n in ns)
         times = nnls(a, b / max(b.max(), 1)) * max(b.max(), 1)
