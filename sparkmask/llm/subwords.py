@@ -33,9 +33,24 @@ from pyspark.sql import functions as F
 from .common import CACHE_ENTRIES, table, tokenizer_file
 
 MARK = "▁"
+#: Words whose ids a worker remembers: about 220 bytes each.
+KNOWN_WORDS = 800_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+class Pairs(dict):
+    """Whether BPE leaves a + b as the pieces a and b, remembered up to a bound."""
+
+    def __init__(self, merged):
+        self.merged = merged
+
+    def __missing__(self, key: tuple[str, str]) -> bool:
+        if len(self) >= 4 * CACHE_ENTRIES:
+            self.clear()
+        value = self[key] = self.merged(key[0] + key[1]) == [*key]
+        return value
+
+
 class Pieces:
     """A SentencePiece model's pieces, with the forward pass over sorted words."""
 
@@ -53,9 +68,9 @@ class Pieces:
         probe = "a  b"
         if sp.decode(sp.encode(probe)) != probe:
             raise ValueError("the model normalises spaces")
-        self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Pairs(self.merged)
         self.words: dict[str, bytes] = {}
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.bytes_of = [b""] * n
         for piece, i in self.ids.items():
             self.bytes_of[i] = piece.replace(MARK, " ").encode()
@@ -63,7 +78,17 @@ class Pieces:
             self.bytes_of[i] = bytes([b])
         if self.unknown >= 0:
             self.bytes_of[self.unknown] = " ⁇ ".encode()
-        self.usable = {p for p in self.ids if self.unigram or len(p) == 1 or self.merged(p) == [p]}
+        usable = {p for p in self.ids if self.unigram or len(p) == 1 or self.merged(p) == [p]}
+        self.use(usable)
+
+    def use(self, usable: set[str]) -> None:
+        """Sets the pieces that a segmentation may hold, and which lengths end in each pair of characters."""
+        self.usable, self.longest = usable, max(map(len, usable))
+        ends: dict[str, set[int]] = {}
+        for p in usable:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {pair: (*sorted(lengths, reverse=True), 1) for pair, lengths in ends.items()}
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition, for the short strings of pairs: the best-scored adjacent pair first, the leftmost of equals."""
@@ -76,21 +101,13 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 4 * CACHE_ENTRIES:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merged(a + b) == [a, b]
-        return ok
-
     def forward(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) of sorted words; last[i] (and best[i]) of a prefix are kept while words share it."""
         last: list[str] = [""]
         best: list[float] = [0.0]
         before = ""
-        usable, longest, score, unigram = self.usable, self.longest, self.score, self.unigram
-        known = self.pairs.get
+        usable, score, ends, known, unigram = self.usable, self.score, self.ends, self.pairs, self.unigram
+        single = (1,)
         for word in words:
             same = 0
             for x, y in zip(before, word, strict=False):
@@ -99,19 +116,17 @@ class Pieces:
                 same += 1
             del last[same + 1 :], best[same + 1 :]
             for i in range(same + 1, len(word) + 1):
-                found, value = word[i - 1], -1e30
-                if unigram:
-                    value = best[i - 1] - 20.0
-                    for at in range(max(0, i - longest), i):
-                        piece = word[at:i]
-                        if piece in usable and best[at] + score[piece] > value:
+                found, value = word[i - 1], best[i - 1] - 20.0 if unigram else 0.0
+                for n in ends.get(word[i - 2 : i], single) if i > 1 else single:
+                    at = i - n
+                    if at < 0 or (piece := word[at:i]) not in usable:
+                        continue
+                    if unigram:
+                        if best[at] + score[piece] > value:
                             found, value = piece, best[at] + score[piece]
-                else:
-                    for at in range(max(0, i - longest), i):
-                        piece = word[at:i]
-                        if piece in usable and (at == 0 or (ok := known((last[at], piece))) or (ok is None and self.follows(last[at], piece))):
-                            found = piece
-                            break
+                    elif not at or known[last[at], piece]:
+                        found = piece
+                        break
                 last.append(found)
                 best.append(value)
             pieces, i = [], len(word)
@@ -122,24 +137,24 @@ class Pieces:
             before = word
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_ENTRIES and self.words:
-            self.words.clear()
+        packed = self.packed
         for word, pieces in self.forward(sorted(words)):
-            ids: list[int] = []
-            for p in pieces:
-                i = self.ids.get(p)
-                ids += [i] if i is not None else [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
-            self.words[word] = np.array(ids, "<u4").tobytes()
+            self.words[word] = b"".join([packed.get(p) or self.pack(p) for p in pieces])
+
+    def pack(self, piece: str) -> bytes:
+        """The ids of a character without a piece: those of its bytes."""
+        ids = [self.byte[b] for b in piece.encode()] if self.byte else [self.unknown]
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in cut for w in words}
-        missing = new - self.words.keys()
-        if len(self.words) + len(missing) > CACHE_ENTRIES:
-            self.words.clear()
-            missing = new
-        self.learn(missing)
+        known = self.words
+        new = {w for words in cut for w in words if w not in known}
+        if len(known) + len(new) > KNOWN_WORDS and known:
+            known.clear()
+            new = {w for words in cut for w in words}
+        self.learn(new)
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
