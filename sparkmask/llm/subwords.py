@@ -34,7 +34,7 @@ from .common import CACHE_ENTRIES, table, tokenizer_file
 
 MARK = "▁"
 #: Words whose ids a worker remembers: about 220 bytes each.
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 1_500_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
