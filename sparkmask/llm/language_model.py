@@ -11,8 +11,9 @@ Emissions use every word's own count: (c + 0.1) / (N_class + 0.1 * (V_class + 1)
 for words that the class has not seen. Transitions are smoothed towards the classes' frequencies. Both
 sum to one, so a text's score is a proper log10 probability.
 
-A worker needs the counts of the words that it meets. If the vocabulary has at most `most_words` words, they are
-broadcast as two arrays (12 bytes a word); otherwise each text's words are joined with the counts.
+Scores need the count of every word. The most frequent words, `head` of them at most, are broadcast as two
+arrays (12 bytes a word); a text's other words, each of them rare, are joined with the table of counts. So
+what is broadcast is bounded whatever the vocabulary, and what is shuffled is a small part of the tokens.
 
 Defined cases: a null or blank text is the end token alone; without training rows N = V = 0 and the base
 score is 0 by its formula; repeated rows are counted and scored as often as they occur; a null doc_id has
@@ -184,33 +185,48 @@ class Model:
         return np.add.reduceat(self.step[before, c] - self.below[c], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
-def scored(model: Model, counts):
-    """(doc_id, text) -> scores; counts: a broadcast of (words, counts), or None to return the words for a join."""
+def scored(model: Model, head):
+    """(doc_id, text) -> scores by a broadcast of (words, counts), and the words that it lacks, with how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = head.value
         for batch in slices(batches):
             if not batch.num_rows:
                 continue
             h, e, sizes = tokens(batch, model.units.endings)
             local = model.local(h, e, sizes)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(local)]
-            if counts is None:
-                each = [np.unique(h[lo:hi], return_counts=True) for lo, hi in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([signed(w) for w, _ in each], pa.list_(pa.int64())), pa.array([n for _, n in each], pa.list_(pa.int64()))], ["doc_id", "n_tokens", "local", "words", "times"])
-                continue
-            words, n = counts.value
-            c = np.zeros(len(h))
+            c = np.zeros(len(h), np.int64)
             if len(words):
                 i = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                c = np.where(words[i] == h, n[i], 0).astype(float)
+                c = np.where(words[i] == h, n[i], 0)
+            at = np.concatenate([[0], np.cumsum(sizes)])
             known = np.add.reduceat((c > 0).astype(np.int64), at[:-1])
-            logs = np.add.reduceat(np.log10(c + ADD), at[:-1])
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(known), pa.array(logs)], ["doc_id", "n_tokens", "local", "n_known", "logs"])
+            logs = np.add.reduceat(np.where(c > 0, np.log10(c + ADD), 0.0), at[:-1])
+            rest = [np.unique(h[lo:hi][c[lo:hi] == 0], return_counts=True) for lo, hi in zip(at, at[1:], strict=False)]
+            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(local), pa.array(known), pa.array(logs), pa.array([signed(w) for w, _ in rest], pa.list_(pa.int64())), pa.array([k for _, k in rest], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "local", "head_known", "head_logs", "words", "times"])
 
     return run
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the words above a count that `most` words at most are above."""
+    band = F.floor(8 * F.log2(F.col("n").cast("double")))  # a few hundred bands
+    bands = sorted(((r["band"], r["v"]) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("v")).collect()), reverse=True)
+    total, least = 0, None
+    for b, v in bands:
+        total += v
+        if total > most:
+            break
+        least = b
+    got = counts.where(band >= least).select("word", "n").toPandas() if least is not None else None  # `most` rows at most
+    if got is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    words = got["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], got["n"].to_numpy(np.int64)[order]
+
+
 def fit(docs: DataFrame, train: Column, scratch: Scratch, top: int, endings: int, classes: int) -> tuple[Model, DataFrame]:
     """The model of the rows of docs for which `train` holds, and the counts of their words (word, ending, n)."""
     rows = docs.where(train).select("text")
@@ -222,6 +238,7 @@ def fit(docs: DataFrame, train: Column, scratch: Scratch, top: int, endings: int
     matrix = np.zeros(units.n * units.n)
     matrix[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(float)
     matrix = matrix.reshape(units.n, units.n)
+    del pairs
     cls = exchange(matrix, classes)
     own = np.eye(classes + 1)[cls]
     transitions = own.T @ matrix @ own
@@ -240,27 +257,22 @@ def fit(docs: DataFrame, train: Column, scratch: Scratch, top: int, endings: int
     return Model(units, cls, transitions, own.T @ n_unit, own.T @ v_unit, int(total["n"].sum()), int(total["v"].sum())), counts
 
 
-def class_scores(docs: DataFrame, train: Column, top: int = 1500, endings: int = 500, classes: int = 64, most_words: int = 8_000_000) -> DataFrame:
+def class_scores(docs: DataFrame, train: Column, top: int = 800, endings: int = 200, classes: int = 48, head: int = 400_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "classes")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model, counts = fit(docs, train, scratch, top, endings, classes)
-    head = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, local double"
-    if model.v <= most_words:
-        got = counts.select("word", F.col("n").cast("int").alias("n") if model.n < 2**31 else "n").toPandas()
-        words = got["word"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(words)
-        shared = spark.sparkContext.broadcast((words[order], got["n"].to_numpy()[order]))
-        out = docs.mapInArrow(scored(model, shared), f"{head}, n_known long, logs double")
-    else:
-        rows = scratch.write(docs.mapInArrow(scored(model, None), f"{head}, words array<long>, times array<long>"), "texts").withColumn("_row", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-        rows = scratch.write(rows, "rows")
-        each = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-        sums = each.join(counts, "word", "left").groupBy("_row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("logs"))
-        out = rows.drop("words", "times").join(sums, "_row").drop("_row")
+    shared = spark.sparkContext.broadcast(frequent(counts, head))
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.mapInArrow(scored(model, shared), f"doc_id {kind}, n_tokens long, local double, head_known long, head_logs double, words array<long>, times array<long>")
+    rows = scratch.write(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    each = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    sums = each.join(counts.select("word", "n"), "word", "left").groupBy("_row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("logs"))
+    out = rows.drop("words", "times").join(sums, "_row", "left").withColumn("logs", F.col("head_logs") + F.coalesce("logs", F.lit(0.0)))
     below = float(np.log10(model.n + ADD * (model.v + 1)))
-    return out.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * below).alias("base_score"), (F.col("logs") + F.col("local")).alias("score"))
+    known = (F.col("head_known") + F.coalesce("known", F.lit(0))).cast("long")
+    return out.select("doc_id", "n_tokens", known.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * below).alias("base_score"), (F.col("logs") + F.col("local")).alias("score"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,7 +311,7 @@ def test_class_scores(spark, odd, none):
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0
     kinds = {"top": 30, "endings": 20, "classes": 6}
     a = language_model.class_scores(docs, train, **kinds).collect()
-    b = language_model.class_scores(docs, train, **kinds, most_words=3).collect()
+    b = language_model.class_scores(docs, train, **kinds, head=3).collect()
     order = lambda rows: sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows))
     assert order(a) == order(b) and len(a) == 62
     rows = [(r.doc_id, re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()) + [None]) for r in docs.collect()]
@@ -358,7 +358,7 @@ def test_subwords_equal_the_library(spark, odd, none):
 def test_unigram_pass_finds_the_best_path():
     m = subwords.Pieces(tokenizer_file("piece_bpe_32k.model"), unigram=True)
     m.score = {p: -float(i) for i, p in enumerate(["a", "b", "ab", "ba", "aba", "bab"])}
-    m.usable, m.longest = set(m.score), 3
+    m.use(set(m.score))
 
     def best(word):
         if not word:
