@@ -18,16 +18,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Loops and repeated edges don't matter; no edges give no rows. Nodes are longs and not null.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = scratch.write(e, "edges")
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = scratch.write(e.distinct(), "edges")
     state = None
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # dealt by u once, all of a star's steps happen where its rows are
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition("u").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.write(small, "star")
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        new = scratch.write(small.distinct(), "star")
         scratch.drop(e)
         e = new
         found = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -2,20 +2,20 @@
 
 A document is the set of its distinct five-word shingles (64-bit hashes of lower-cased words). Sets that
 are equal become one at once. The others carry 128 minwise tokens and are dealt down independent trees:
-a node with few documents is compared exhaustively, a larger one branches by the minwise token that the
-node itself selects, so similar documents tend to stay together and unlike ones part. A pair of
+a node with few documents is compared exhaustively, a larger one branches by a minwise token that its level
+of its tree selects, so similar documents tend to stay together and unlike ones part. A pair of
 similarity s stays together for d levels of a tree with probability s^d, and misses all `trees` trees
-with (1 - s^d)^trees; nodes branch only above `leaf` documents, so d is 1 or 2 for nearly all pairs and
-16 trees miss a pair at 0.75 less than once in 10^5.
+with (1 - s^d)^trees; nodes branch only above `leaf` documents, so d is 1 or 2 for nearly all pairs, and 12
+trees miss a pair at exactly 0.75 once in 10^7 or in 20,000.
 
 Comparison has two steps. In a leaf, minwise tokens estimate each pair (128 tokens; a pair at 0.75 falls
 below 0.58 less than once in 10^5), which leaves small groups of candidates; equal groups from several
 trees become one. Then the members' full sets are built again from their texts and compared exactly.
 Within a group, documents that links already connect are not compared again, so a group of n copies
-costs about n comparisons and gives n - 1 links. Trees run in two rounds: groups whose documents the
-first round has connected drop out of the second.
+costs about n comparisons and gives n - 1 edges. Trees run in two rounds: what the first round has connected
+is left out of the second, so a large group of copies is not met once per tree.
 
-Nodes that never get small (many near copies of one text share all tokens) are dealt into blocks of at
+Nodes that stay large however they branch (many near copies of one text share most tokens) are dealt into blocks of at
 most `leaf` documents, each with the same few pivots; blocks are compared like leaves. Then documents of
 the node that aren't yet connected to its largest component are compared, block by block, with all of
 the node. Every task therefore holds two blocks at most, and nothing is capped or sampled.
@@ -108,6 +108,8 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(kept)
 
 
+#: Share of its parent's documents from which a large node counts as dense.
+DENSE = 0.6
 PAIRS = {m: np.triu_indices(m, 1) for m in range(2, 33)}
 
 
@@ -116,8 +118,7 @@ def candidates(least: float):
 
     def groups(doc: np.ndarray, comp: np.ndarray, tokens: np.ndarray, pairs) -> Iterator[np.ndarray]:
         a, b = pairs
-        near = (tokens[a] == tokens[b]).sum(axis=1) >= least * TOKENS
-        near &= comp[a] != comp[b]
+        near = ((tokens[a] == tokens[b]).sum(axis=1) >= least * TOKENS) & (comp[a] != comp[b])
         if near.any():
             links = Links(np.arange(len(doc)))
             touched = np.zeros(len(doc), bool)
@@ -150,21 +151,22 @@ def candidates(least: float):
 def set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(WORDS.of(lower_words(x))).tobytes() for x in texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("comp"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc", "comp", "set"])
 
 
-def links_of(doc: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what is similar: 100 * intersection >= percent * union, on full sets.
+def links_of(doc: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what is similar: 100 * intersection >= percent * union, on full sets.
 
-    The first document not yet compared is compared with all that it isn't connected to.
+    A document is compared with those after it that it isn't connected to yet. Each set of documents that
+    links connect is returned as edges to its first document.
     """
-    m = len(doc)
     size = np.array([len(s) for s in sets])
     values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size)])
     links = Links(comp)
+    first = links.root.copy()
     flag = np.zeros(len(values), bool)
-    for i in range(m - 1):
+    for i in range(len(doc) - 1):
         other = i + 1 + np.flatnonzero(links.root[i + 1 :] != links.root[i])
         other = other[(100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
         if not len(other):
@@ -173,9 +175,11 @@ def links_of(doc: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent:
         flag[mine] = True
         for j in other.tolist():
             both = int(np.count_nonzero(flag[inverse[at[j] : at[j + 1]]]))
-            if 100 * both >= percent * (size[i] + size[j] - both) and links.join(i, j):
-                yield int(doc[i]), int(doc[j])
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                links.join(i, j)
         flag[mine] = False
+    moved = np.flatnonzero((links.root != first) & (first == np.arange(len(doc))))
+    return [(int(doc[i]), int(doc[links.root[i]])) for i in moved]
 
 
 def confirm(percent: int):
@@ -184,7 +188,7 @@ def confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, "sub"):
             sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
-            found = list(links_of(group.column("doc").to_numpy(), group.column("comp").to_numpy(), sets, percent)) if len(sets) > 1 else []
+            found = links_of(group.column("doc").to_numpy(), group.column("comp").to_numpy(), sets, percent) if len(sets) > 1 else []
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -200,70 +204,69 @@ class Join:
         self.least = percent / 100 - 4.45 * (percent / 100 * (1 - percent / 100) / TOKENS) ** 0.5
 
 
-    @staticmethod
-    def token(tokens: str, index: str) -> str:
-        return f"substring({tokens}, 4 * ({index}) + 1, 4)"
+    def paths(self, trees: range) -> DataFrame:
+        """(doc, comp, k1 .. k<depth>): a document's node at each level of each tree, by the tokens that the level selects."""
+        token = lambda i: F.expr(f"substring(tokens, {4 * i + 1}, 4)")
+        chosen = {t: [(t + 41 * level) % TOKENS for level in range(self.depth)] for t in trees}
+        each = [F.struct(*[F.xxhash64(F.lit(t), *map(token, chosen[t][: level + 1])).alias(f"k{level + 1}") for level in range(self.depth)]) for t in trees]
+        return self.reps.select("doc", "comp", F.explode(F.array(*each)).alias("k")).select("doc", "comp", "k.*")
+
+    def leaves(self, trees: range) -> tuple[DataFrame, DataFrame | None]:
+        """(node, doc) of leaves with two documents at least, and of dense nodes.
 
-    def leaves(self, trees: range) -> tuple[DataFrame, DataFrame]:
-        """(node, doc) of leaves with two documents at least, and of dense nodes, which stay large to the last level."""
-        start = self.reps.select("doc", "tokens", F.explode(F.array(*map(F.lit, trees))).alias("tree"))
-        at = start.select("doc", F.xxhash64("tree", F.expr(self.token("tokens", "tree"))).alias("node"))
+        A node above `leaf` documents branches, unless most of its parent's documents came along: these are
+        alike, and no number of further tokens would part them. Nodes whose documents links connect already are left out.
+        """
+        at = self.paths(trees).withColumn("before", F.lit(2**62))
         small: list[DataFrame] = []
+        dense: list[DataFrame] = []
         for level in range(1, self.depth + 1):
-            counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            counts = self.scratch.write(counts, f"nodes{level}")
-            small.append(at.join(counts.where(F.col("n") <= self.leaf).drop("n"), "node"))
-            large = bounded(counts.where(F.col("n") > self.leaf).drop("n"))
-            large_rows = self.scratch.write(at.join(large, "node").select("node", "doc"), f"large{level}")
-            if large_rows.isEmpty():
-                return self.union(small), None
-            if level == self.depth:
-                return self.union(small), large_rows
-            index = f"pmod(xxhash64(node, {level}), {TOKENS})"
-            at = large_rows.join(self.reps, "doc").select("doc", F.expr(f"xxhash64(node, {self.token('tokens', index)})").alias("node"))
+            at = at.withColumnRenamed(f"k{level}", "node")
+            counts = self.scratch.write(at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("before").alias("before"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi"), f"nodes{level}")
+            small.append(at.select("node", "doc", "comp").join(counts.where(F.col("n") <= self.leaf).select("node"), "node"))
+            large = counts.where(F.col("n") > self.leaf).withColumn("alike", (F.col("n") > DENSE * F.col("before")) | F.lit(level == self.depth)).drop("before")
+            if large.isEmpty():
+                break
+            rows = self.scratch.write(at.drop("before").join(bounded(large), "node"), f"large{level}")
+            if not large.where("alike").isEmpty():
+                dense.append(rows.where("alike").select("node", "doc", "comp"))
+            at = rows.where("not alike").drop("node", "alike").withColumnRenamed("n", "before")
+        return self.union(small), self.union(dense) if dense else None
 
     @staticmethod
     def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0].select("node", "doc")
+        out = parts[0].select("node", "doc", "comp")
         for p in parts[1:]:
-            out = out.unionByName(p.select("node", "doc"))
+            out = out.unionByName(p.select("node", "doc", "comp"))
         return out
 
     def blocks(self, dense: DataFrame) -> DataFrame:
-        """(node, doc) of the dense nodes' blocks, each with the node's pivots: those of least hash."""
-        n = dense.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.expr("slice(array_sort(collect_set(if(pmod(xxhash64(doc), 1024) = 0, doc, null))), 1, 4)").alias("some"), F.min("doc").alias("one"))
-        n = n.withColumn("b", F.ceil(F.col("n") / (self.leaf - 8)).cast("int")).withColumn("pivots", F.array_distinct(F.concat("some", F.array("one"))))
+        """(node, doc) of the dense nodes' blocks, each with the node's pivots: the documents of least hash by four hashes."""
+        least = [F.min(F.struct(F.xxhash64("doc", F.lit(i)).alias("h"), "doc"))["doc"] for i in range(4)]
+        n = dense.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array(*least).alias("pivots"))
+        n = n.withColumn("b", F.ceil(F.col("n") / (self.leaf - 4)).cast("int")).withColumn("pivots", F.array_distinct("pivots"))
         dealt = dense.join(F.broadcast(n.select("node", "b")) if n.limit(10_001).count() <= 10_000 else n.select("node", "b"), "node").select(F.expr("xxhash64(node, pmod(xxhash64(doc, 7), b))").alias("node"), "doc")
         pivots = n.select("node", "pivots", F.explode(F.expr("sequence(0, b - 1)")).alias("i")).select(F.expr("xxhash64(node, cast(i as bigint))").alias("node"), F.explode("pivots").alias("doc"))
         return dealt.unionByName(pivots).distinct()
 
-    def compare(self, leaves: DataFrame, comp: DataFrame | None) -> DataFrame:
+    def compare(self, leaves: DataFrame) -> DataFrame:
         """Links (a, b) among the documents of each leaf (node, doc)."""
-        rows = self.with_comp(leaves, comp)
-        if comp is not None:  # leaves whose documents are all connected need no look
-            mixed = rows.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("node")
-            rows = rows.join(mixed, "node")
-        rows = rows.join(self.reps.select("doc", "tokens"), "doc").select("node", "doc", "comp", "tokens")
+        rows = leaves.select("node", "doc").join(self.reps, "doc").select("node", "doc", "comp", "tokens")
         rows = rows.repartition("node").sortWithinPartitions("node", "doc")
         sub = rows.mapInArrow(candidates(self.least), "sub long, doc long").distinct()
-        return self.exact(self.scratch.write(sub, "sub"), comp)
-
-    def with_comp(self, rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-        if comp is None:
-            return rows.withColumn("comp", F.col("doc"))
-        return rows.join(comp, rows["doc"] == comp["node"], "left").select(*[rows[c] for c in rows.columns], F.coalesce(comp["root"], rows["doc"]).alias("comp"))
+        return self.exact(self.scratch.write(sub, "sub"))
 
-    def exact(self, sub: DataFrame, comp: DataFrame | None) -> DataFrame:
+    def exact(self, sub: DataFrame) -> DataFrame:
         """Links among the documents of each group (sub, doc), on full sets built again from the texts."""
-        members = sub.select("doc").distinct()
-        text = self.docs.join(bounded(members), self.docs["doc_id"] == members["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"])
-        sets = text.mapInArrow(set_bytes, "doc long, set binary")
-        rows = self.with_comp(sub, comp).join(sets, "doc").select("sub", "doc", "comp", "set")
+        members = self.scratch.write(self.reps.select("doc", "comp").join(sub.select("doc").distinct(), "doc"), "members")
+        text = self.docs.join(bounded(members), self.docs["doc_id"] == members["doc"]).select("doc", "comp", "text").dropDuplicates(["doc"])
+        sets = text.mapInArrow(set_bytes, "doc long, comp long, set binary")
+        rows = sub.join(sets, "doc").select("sub", "doc", "comp", "set")
         return rows.repartition("sub").sortWithinPartitions("sub", "doc").mapInArrow(confirm(self.percent), "a long, b long")
 
-    def rest(self, dense: DataFrame, comp: DataFrame) -> DataFrame | None:
+    def rest(self, dense: DataFrame) -> DataFrame | None:
         """Groups (sub, doc): each block of a dense node with each block of its documents outside its largest component."""
-        rows = self.with_comp(dense, comp)
+        rows = dense.select("node", "doc").join(self.reps.select("doc", "comp"), "doc")
         most = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("comp", F.struct("n", F.col("comp"))).alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("r"))
         most = most.where("r > 0").select("node", "most", F.ceil(F.col("n") / self.leaf).cast("int").alias("b"), F.ceil(F.col("r") / self.leaf).cast("int").alias("rb"))
         if most.isEmpty():
@@ -273,24 +276,34 @@ class Join:
         outside = rows.where("comp <> most").withColumn("j", F.expr("pmod(xxhash64(doc, 13), rb)")).withColumn("i", F.explode(F.expr("sequence(0L, cast(b - 1 as bigint))")))
         return block.unionByName(outside).select(F.xxhash64("node", "i", "j").alias("sub"), "doc").distinct()
 
+    def settle(self, links: DataFrame) -> DataFrame:
+        """The components (node, root) of the links so far; documents carry theirs from now on."""
+        comp = components(links, self.scratch)
+        known = self.reps.drop("comp").join(comp, F.col("doc") == F.col("node"), "left")
+        self.reps = self.scratch.write(known.select("doc", "tokens", F.coalesce("root", "doc").alias("comp")), "reps")
+        return comp
+
     def run(self, trees: int, first: int) -> DataFrame:
         """(node, root) of linked representatives."""
-        scratch = self.scratch
-        comp, links = None, None
+        links = comp = None
         for part in (range(first), range(first, trees)):
             leaves, dense = self.leaves(part)
             if dense is not None:
-                leaves = leaves.unionByName(self.blocks(dense))
-            new = scratch.write(self.compare(leaves, comp), "links")
-            links = new if links is None else scratch.write(links.unionByName(new), "links")
-            comp = components(links, scratch)
-            if dense is not None and (rest := self.rest(dense, comp)) is not None:
-                links = scratch.write(links.unionByName(self.exact(scratch.write(rest, "rest"), comp)), "links")
-                comp = components(links, scratch)
+                leaves = leaves.select("node", "doc").unionByName(self.blocks(dense))
+            new = self.scratch.write(self.compare(leaves), "links")
+            if comp is not None and new.isEmpty():
+                return comp
+            links = new if links is None else self.scratch.write(links.unionByName(new), "links")
+            comp = self.settle(links)
+            if dense is not None and (rest := self.rest(dense)) is not None:
+                more = self.scratch.write(self.exact(self.scratch.write(rest, "rest")), "links")
+                if not more.isEmpty():
+                    links = self.scratch.write(links.unionByName(more), "links")
+                    comp = self.settle(links)
         return comp
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 16, first: int = 4, leaf: int = 256, depth: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, first: int = 3, leaf: int = 256, depth: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -298,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 16, first:
     made = scratch.write(docs.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, tokens binary"), "sketch")
     full = made.where("n_shingles > 0 and doc_id is not null")
     equal = scratch.write(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "reps")
-    comp = Join(docs, equal.select("doc", "tokens"), scratch, percent, leaf, depth).run(trees, first)
+    comp = Join(docs, equal.select("doc", "tokens", F.col("doc").alias("comp")), scratch, percent, leaf, depth).run(trees, first)
     named = equal.join(comp, equal["doc"] == comp["node"], "left").select("h1", "h2", "n_shingles", F.coalesce("root", "doc").alias("component_id"))
     out = made.drop("tokens").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
