@@ -4,7 +4,7 @@ The lexicon is learnt: terms that labelled toxic documents use significantly mor
 ones, by the log odds of document frequencies. A word of a text hits a term if it equals it, or if it lies
 within one edit (two for terms of ten letters and more). Misspellings are found by walking the trie with the
 states of the word's Levenshtein automaton, so all terms are tried at once; a word enters that walk only if
-it shares a half (or a third) with a term, as every word within the distance must. Words within
+it can lie within reach of a term at all. Words within
 reach of a term that labelled clean documents use are known to be innocent and don't hit.
 
 Each hit's context decides how it counts: hits between quotation marks, or with a word of report close by in
@@ -37,6 +37,8 @@ TOKEN = re.compile(r"[\w@$]+")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
 REPORT = re.compile(r"\b(?:said|says|wrote|quote[ds]?|called|calling|word|term|dit|écrit|sagte|schrieb|dijo|escribió)\b")
 AROUND = 48
+#: Log odds from which a term's misspellings count, and how many terms, the most significant first, can have any.
+STRONG, SPELLED = 2.5, 100
 FEATURES = 7
 
 
@@ -45,30 +47,50 @@ def stem(word: str) -> str | None:
     return word[:5] + "*" if len(word) >= 7 else None
 
 
+def cut_one(word: str) -> list[str]:
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
+def cut_two(word: str) -> list[str]:
+    """The word without two of its letters, without one, and whole."""
+    return [word[:i] + word[i + 1 : j] + word[j + 1 :] for j in range(1, len(word)) for i in range(j)] + cut_one(word) + [word]
+
+
 class Lexicon:
     """Weighted terms as a trie, with lookup of words within an edit distance."""
 
     def __init__(self, weights: dict[str, float], innocent: frozenset[str] = frozenset(), shortest: int = 5):
         self.weights, self.innocent, self.shortest = weights, innocent, shortest
         self.trie: dict = {}
-        self.parts: set[tuple[int, str]] = set()
+        self.short: set[str] = set()
+        self.long: set[str] = set()
+        self.longest, self.least_long = 0, 10**9
+        self.parts: dict[tuple[int, str], set[str]] = {}
         self.sizes: set[tuple[int, int]] = set()
-        for term in weights:
-            if len(term) < shortest or term[-1] == "*":
+        family = Counter(stem(t) for t in weights if t[-1] != "*")
+        for term, weight in list(weights.items())[:SPELLED]:
+            # weak terms have no misspellings worth finding, and a stem with three terms or more catches their variants itself
+            if len(term) < shortest or term[-1] == "*" or weight < STRONG or (stem(term) in weights and family[stem(term)] >= 3):
                 continue
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
             k = self.reach(len(term))
+            if k == 1:
+                self.short |= {term, *cut_one(term)}
+                continue
+            self.long.update(cut_two(term))
+            self.longest = max(self.longest, len(term))
             cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
             for i in range(k + 1):
                 part = term[cuts[i] : cuts[i + 1]]
                 for shift in range(-k, k + 1):  # edits before the part move it by at most k
                     at = cuts[i] + shift
                     if at >= 0:
-                        self.parts.add((at, part))
+                        self.parts.setdefault((at, part), set()).add(term)
                         self.sizes.add((at, len(part)))
+                        self.least_long = min(self.least_long, len(term) - 2)
         self.known: dict[str, tuple[float, bool]] = {}
 
     @staticmethod
@@ -79,7 +101,7 @@ class Lexicon:
         """The heaviest term within reach of the word, by the trie's nodes and the automaton's states."""
         best: str | None = None
         stack = [(self.trie, [(0, 0)])]
-        most = self.reach(len(word) + 1)
+        most = self.reach(len(word) + 2)
         while stack:
             node, states = stack.pop()
             if (term := node.get("")) is not None and min((e + len(word) - i for i, e in states), default=99) <= self.reach(len(term)) and (best is None or self.weights[term] > self.weights[best]):
@@ -101,14 +123,34 @@ class Lexicon:
         return best
 
     def fuzzy(self, word: str) -> str | None:
-        if len(word) < self.shortest - 1 or len(word) > 64 or word in self.innocent or not any((at, word[at : at + n]) in self.parts for at, n in self.sizes):
+        """The term that a misspelt word stands for. Only words that can lie within reach of a term enter the trie.
+
+        Within one edit, word and term are equal after a letter of each is cut; within two, they share a third
+        of the term, at most two places off, and are equal after two letters of each are cut.
+        """
+        n = len(word)
+        if n < self.shortest - 1 or n > 64 or word in self.innocent:
             return None
-        return self.near(word)
+        if n <= 10 and (word in self.short or not self.short.isdisjoint(cut_one(word))):
+            return self.near(word)
+        if self.least_long <= n <= self.longest + 2 and self.like_long(word) and not self.long.isdisjoint(cut_two(word)):
+            return self.near(word)
+        return None
+
+    def like_long(self, word: str) -> bool:
+        """Whether some long term shares a third with the word, and each has two letters at most that the other lacks."""
+        letters = None
+        for at, m in self.sizes:
+            for term in self.parts.get((at, word[at : at + m]), ()):
+                letters = letters or set(word)
+                if abs(len(term) - len(word)) <= 2 and len(letters.difference(term)) <= 2 and len(set(term) - letters) <= 2:
+                    return True
+        return False
 
     def hit(self, word: str) -> tuple[float, bool]:
         """(weight, whether spelled as a term); weight 0 if it hits nothing."""
         if (found := self.known.get(word)) is None:
-            if len(self.known) >= CACHE_ENTRIES:
+            if len(self.known) >= 2 * CACHE_ENTRIES:
                 self.known.clear()
             if (w := max((self.weights[x] for x in (word, stem(word)) if x in self.weights), default=0.0)) > 0:
                 found = (w, True)
@@ -214,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000,
         return Model(None, [])
     weights = {w: rated[w][0] for _, w in chosen}
     bare = Lexicon(weights)
-    close = counted(for_terms, lambda w: w not in weights and bare.fuzzy(w) is not None)
+    close = counted(for_terms, lambda w: w[-1] != "*" and bare.hit(w)[0] > 0 and not bare.hit(w)[1])
     innocent = frozenset(r["word"] for r in close if r["neg"] and odds(r["pos"], r["neg"])[0] < 1.5)
     lexicon = Lexicon(weights, innocent)
 
