@@ -1,17 +1,21 @@
 """Quality rules: counts within a text, and lines that many documents of a host repeat.
 
 Across documents, a line is normalised (lower case, runs of white space as one space, digits as 0) and
-hashed. For each host (`source`) and line, distinct documents are counted by family: the least hash of a
-document's eight-word windows, which exact copies share and most near copies too. A line is above the limit
-if it occurs in at least `families` families of the host, and these make up at least half of the documents
+hashed. For each host (`source`) and line, distinct documents are counted by family: the least hash of the
+eight-word windows that start in a document's own lines, which near copies mostly share. Own are lines that fewer
+than `families` documents of the host have (exact copies are one document), unless they are an edit: if such a
+frequent line fills most of the places between two given lines, what else stands there is an edit of it.
+Documents without own lines, as near copies of one text, are one family. Boilerplate so never decides the
+family, however much of a document it is. A line is above the limit
+if it occurs in at least `families` families of the host, and these make up at least half of the distinct documents
 that have it; lines that only one document and its many copies repeat are so not taken for boilerplate
 (removing copies is another operator's work). Lines above the limit are removed, and a document is rejected
 if fewer than `least_words` words remain, or less than `least_share` of its words. Text that hardly repeats across
 documents is thus left alone.
 
-Lines are counted by two partial aggregations on (host, line, family), so a line that all documents
-of a host have is summed where it is read and arrives as one row per task. No list of lines is
-broadcast or collected.
+Lines are counted by partial aggregations on (host, line, document) and (host, place, line), so a line that all
+documents of a host have is no single task's work until it is summed. Frequent lines, places and families are
+broadcast only where a count shows that they are few.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own;
 repeated rows count once across documents and are all returned; an empty table gives no rows; other
@@ -21,11 +25,13 @@ columns pass through the filter and are ignored by the query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -55,15 +61,18 @@ def repeated_words(hashes: np.ndarray) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[:-1]))
 
 
-def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[tuple[int, int]]]:
-    """The base counts, the family and (line hash, words) of the distinct normalised lines."""
+def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[tuple[int, int, int, int]]]:
+    """The base counts, a hash of the words, and (line hash, words, place, least window) of the distinct normalised lines.
+
+    A line's place is a hash of the lines before and after it; its least window is that of the windows that start in it.
+    """
     words = text.split()
     joined = b"".join(words)
     word_chars = len(joined.translate(None, CONTINUATION))
     symbols = len(text.translate(None, OTHER))
     seen: set[bytes] = set()
     dup = 0
-    lines: dict[int, int] = {}
+    keys, sizes = [], []
     for line in text.split(b"\n"):
         parts = line.split()
         if not parts:
@@ -71,12 +80,22 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[tuple[int,
         if line in seen:
             dup += 1
         seen.add(line)
-        key = xxhash.xxh3_64_intdigest(b" ".join(parts).lower().translate(DIGITS))
-        lines[key] = lines.get(key, 0) + len(parts)
+        keys.append(xxhash.xxh3_64_intdigest(b" ".join(parts).lower().translate(DIGITS)))
+        sizes.append(len(parts))
     hashes = WORDS.of(words)
     w = window_hashes(hashes, WINDOW)
-    family = int(w.min()) if len(w) else xxhash.xxh3_64_intdigest(b" ".join(words))
-    return len(words), word_chars, symbols, dup, repeated_words(hashes), family, list(lines.items())
+    starts = np.cumsum([0, *sizes[:-1]]) if sizes else np.empty(0, np.int64)
+    inside = int(np.searchsorted(starts, len(w)))  # lines in which a window starts
+    least = [*np.minimum.reduceat(w, starts[:inside]).tolist(), *keys[inside:]] if inside else keys
+    lines: dict[int, list[int]] = {}
+    around = [0, *keys, 0]
+    for i, (key, n) in enumerate(zip(keys, sizes, strict=True)):
+        if key in lines:
+            lines[key][0] += n
+        else:
+            lines[key] = [n, xxhash.xxh3_64_intdigest(b"%d %d" % (around[i], around[i + 2])), least[i]]
+    copy = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return len(words), word_chars, symbols, dup, repeated_words(hashes), copy, [(key, *x) for key, x in lines.items()]
 
 
 def to_signed(x: int) -> int:
@@ -105,33 +124,56 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").cast(pa.large_binary()).to_pylist()
         ids, hosts = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
         base: list[list[int]] = [[] for _ in range(5)]
-        family, key, lines, words = [], [], [], []
+        copy, key, lines, words, place, least = [], [], [], [], [], []
         for doc_id, host, text in zip(ids, hosts, texts, strict=True):
-            *counts, fam, found = measure(text or b"")
+            *counts, same, found = measure(text or b"")
             for column, value in zip(base, counts, strict=True):
                 column.append(value)
-            family.append(to_signed(fam))
+            copy.append(to_signed(same))
             key.append(content_key(doc_id, host, text))
-            lines.append([to_signed(x) for x, _ in found])
-            words.append([n for _, n in found])
+            lines.append([to_signed(x) for x, _, _, _ in found])
+            words.append([n for _, n, _, _ in found])
+            place.append([to_signed(x) for _, _, x, _ in found])
+            least.append([to_signed(x) for _, _, _, x in found])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), *(pa.array(x, pa.int64()) for x in base), pa.array(family, pa.int64()), pa.array(key, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))],
-            ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "family", "key", "lines", "words"],
+            [batch.column("doc_id"), batch.column("source"), *(pa.array(x, pa.int64()) for x in base), pa.array(copy, pa.int64()), pa.array(key, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (lines, words, place, least))],
+            ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "copy", "key", "lines", "words", "place", "least"],
         )
 
 
+def both(a: str, b: str, *columns: str) -> Column:
+    """Equality of columns of the aliases a and b, where nulls are equal."""
+    each = [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+    return reduce(and_, each)
+
+
+def common_lines(made: DataFrame, scratch: Scratch, families: int) -> DataFrame:
+    """(host, line) of the lines above the limit."""
+    line = made.select("host", "copy", F.explode(F.arrays_zip("lines", "place", "least")).alias("l")).select("host", "copy", F.col("l.lines").alias("line"), F.col("l.place").alias("place"), F.col("l.least").alias("least"))
+    once = scratch.write(line.groupBy("host", "line", "copy").agg(F.min("place").alias("place"), F.min("least").alias("least")), "lines")
+    often = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= families).select("host", "line")
+    often = bounded(scratch.write(often.withColumn("often", F.lit(True)), "often"))
+    rows = once.alias("l").join(often.alias("o"), both("l", "o", "host", "line"), "left").select("l.*", F.coalesce("o.often", F.lit(False)).alias("often"))
+    at = rows.groupBy("host", "place", "line").agg(F.count(F.lit(1)).alias("n"), F.max("often").alias("often"))
+    fixed = at.groupBy("host", "place").agg(F.sum("n").alias("n"), F.max(F.when(F.col("often"), F.col("n"))).alias("most")).where(2 * F.col("most") >= F.col("n")).select("host", "place")
+    fixed = bounded(scratch.write(fixed, "fixed"))
+    own = rows.where("not often").alias("l").join(fixed.alias("f"), both("l", "f", "host", "place"), "left_anti")
+    family = bounded(scratch.write(own.groupBy("host", "copy").agg(F.min("least").alias("family")), "families"))
+    by_family = rows.where("often").alias("l").join(family.alias("f"), both("l", "f", "host", "copy"), "left").groupBy("l.host", "l.line", "f.family").agg(F.count(F.lit(1)).alias("n"))
+    return by_family.groupBy("host", "line").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("n")).where((F.col("f") >= families) & (2 * F.col("f") >= F.col("n"))).select("host", "line")
+
+
 def judged(docs: DataFrame, families: int = 20, least_words: int = 10, least_share: float = 0.3) -> DataFrame:
     """A row per document: doc_id, key, the base counts, base_failed, n_kept_words and kept."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    made = scratch.write(rows.mapInArrow(measured, f"doc_id long, host string, {BASE}, family long, key long, lines array<long>, words array<long>"), "measured")
-    line = made.select("host", "family", "key", F.explode(F.arrays_zip("lines", "words")).alias("l")).select("host", "family", "key", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
-    by_family = line.groupBy("host", "line", "family").agg(F.count(F.lit(1)).alias("n"))
-    common = by_family.groupBy("host", "line").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("n")).where((F.col("f") >= families) & (2 * F.col("f") >= F.col("n"))).select("host", "line")
+    made = scratch.write(rows.mapInArrow(measured, f"doc_id long, host string, {BASE}, copy long, key long, lines array<long>, words array<long>, place array<long>, least array<long>"), "measured")
+    line = made.select("host", "key", F.explode(F.arrays_zip("lines", "words")).alias("l")).select("host", "key", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
+    common = common_lines(made, scratch, families)
     common = bounded(scratch.write(common, "common"))
     hit = line.alias("l").join(common.alias("c"), F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.line") == F.col("c.line"))).select("l.key", "l.line", "l.words")
     lost = hit.distinct().groupBy("key").agg(F.sum("words").alias("lost"))
-    out = made.drop("lines", "words", "host", "family").join(lost, "key", "left").withColumn("n_kept_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    out = made.drop("lines", "words", "place", "least", "host", "copy").join(lost, "key", "left").withColumn("n_kept_words", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     depleted = (F.col("lost").isNotNull()) & ((F.col("n_kept_words") < least_words) | (F.col("n_kept_words") < least_share * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)

@@ -102,6 +102,21 @@ def test_frequent_lines(spark):
     assert not any(got[100 + i].kept for i in range(3))
 
 
+def test_documents_that_are_mostly_one_block(spark):
+    notice = "\n".join(prose(15, 500 + j) for j in range(4))
+    shells = [(i, prose(20, i) + "\n" + notice, "shell") for i in range(200)]
+    text = [prose(12, 700 + j) for j in range(12)]
+    r, near = random.Random(4), []
+    for i in range(100):
+        w = [x.split() for x in text]
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(12)][r.randrange(12)] = f"new{r.randrange(10**6)}x{i}"
+        near.append((1000 + i, "\n".join(map(" ".join, w)), "near"))
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(shells + near, "doc_id long, text string, source string"), families=20).collect()}
+    assert all(not got[i].kept and got[i].n_kept_words == 20 for i in range(200))
+    assert all(got[1000 + i].kept and got[1000 + i].n_kept_words == 144 for i in range(100))  # near copies aren't boilerplate
+
+
 def test_duplicate_lines():
     assert quality.measure(b"a b\n\na b\n a b\nc\nc")[3] == 2
 
