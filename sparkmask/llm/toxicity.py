@@ -2,9 +2,9 @@
 
 The lexicon is learnt: terms that labelled toxic documents use significantly more often than other labelled
 ones, by the log odds of document frequencies. A word of a text hits a term if it equals it, or if it lies
-within one edit (two for terms of ten letters and more). Misspellings are found by walking the trie with the
-states of the word's Levenshtein automaton, so all terms are tried at once; a word enters that walk only if
-it can lie within reach of a term at all. Words within
+within one edit (two for terms of ten letters and more). Every term of five letters or more has misspellings.
+They are found by walking a trie with the states of the word's Levenshtein automaton; the trie holds
+the terms that equal the word after cuts of as many letters, which an index of all cuts of all terms gives. Words within
 reach of a term that labelled clean documents use are known to be innocent and don't hit.
 
 Each hit's context decides how it counts: hits between quotation marks, or with a word of report close by in
@@ -37,8 +37,8 @@ TOKEN = re.compile(r"[\w@$]+")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
 REPORT = re.compile(r"\b(?:said|says|wrote|quote[ds]?|called|calling|word|term|dit|écrit|sagte|schrieb|dijo|escribió)\b")
 AROUND = 48
-#: Log odds from which a term's misspellings count, and how many terms, the most significant first, can have any.
-STRONG, SPELLED = 2.5, 100
+#: Letters up to which a word is taken for a misspelling.
+LONGEST = 64
 FEATURES = 7
 
 
@@ -57,50 +57,43 @@ def cut_two(word: str) -> list[str]:
 
 
 class Lexicon:
-    """Weighted terms as a trie, with lookup of words within an edit distance."""
+    """Weighted terms, with lookup of words within an edit distance: all terms of `shortest` letters and more have misspellings."""
 
     def __init__(self, weights: dict[str, float], innocent: frozenset[str] = frozenset(), shortest: int = 5):
         self.weights, self.innocent, self.shortest = weights, innocent, shortest
-        self.trie: dict = {}
-        self.short: set[str] = set()
-        self.long: set[str] = set()
-        self.longest, self.least_long = 0, 10**9
-        self.parts: dict[tuple[int, str], set[str]] = {}
-        self.sizes: set[tuple[int, int]] = set()
-        family = Counter(stem(t) for t in weights if t[-1] != "*")
-        for term, weight in list(weights.items())[:SPELLED]:
-            # weak terms have no misspellings worth finding, and a stem with three terms or more catches their variants itself
-            if len(term) < shortest or term[-1] == "*" or weight < STRONG or (stem(term) in weights and family[stem(term)] >= 3):
+        #: What is left of terms after cuts, and the terms, divided by spaces: one letter at most of those within one edit, two of the others.
+        self.short: dict[str, str] = {}
+        self.long: dict[str, str] = {}
+        self.lengths: set[int] = set()
+        for term in weights:
+            if not shortest <= len(term) <= LONGEST + 2 or term[-1] == "*":
                 continue
-            node = self.trie
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-            k = self.reach(len(term))
-            if k == 1:
-                self.short |= {term, *cut_one(term)}
-                continue
-            self.long.update(cut_two(term))
-            self.longest = max(self.longest, len(term))
-            cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
-            for i in range(k + 1):
-                part = term[cuts[i] : cuts[i + 1]]
-                for shift in range(-k, k + 1):  # edits before the part move it by at most k
-                    at = cuts[i] + shift
-                    if at >= 0:
-                        self.parts.setdefault((at, part), set()).add(term)
-                        self.sizes.add((at, len(part)))
-                        self.least_long = min(self.least_long, len(term) - 2)
+            if self.reach(len(term)) == 1:
+                index, left = self.short, {term, *cut_one(term)}
+            else:
+                index, left = self.long, set(cut_two(term))
+                self.lengths.update(range(len(term) - 2, len(term) + 3))
+            for x in left:
+                index[x] = f"{index[x]} {term}" if x in index else term
         self.known: dict[str, tuple[float, bool]] = {}
 
+    def __reduce__(self):
+        return lexicon_of, (self.weights, self.innocent, self.shortest)
+
     @staticmethod
     def reach(length: int) -> int:
         return 2 if length >= 10 else 1
 
-    def near(self, word: str) -> str | None:
-        """The heaviest term within reach of the word, by the trie's nodes and the automaton's states."""
+    def near(self, word: str, terms: set[str]) -> str | None:
+        """The heaviest of the terms within reach of the word, by their trie's nodes and the automaton's states."""
+        trie: dict = {}
+        for term in terms:
+            node = trie
+            for c in term:
+                node = node.setdefault(c, {})
+            node[""] = term
         best: str | None = None
-        stack = [(self.trie, [(0, 0)])]
+        stack = [(trie, [(0, 0)])]
         most = self.reach(len(word) + 2)
         while stack:
             node, states = stack.pop()
@@ -123,29 +116,21 @@ class Lexicon:
         return best
 
     def fuzzy(self, word: str) -> str | None:
-        """The term that a misspelt word stands for. Only words that can lie within reach of a term enter the trie.
+        """The term that a misspelt word stands for. Only terms that can lie within reach of the word enter the trie.
 
-        Within one edit, word and term are equal after a letter of each is cut; within two, they share a third
-        of the term, at most two places off, and are equal after two letters of each are cut.
+        Within one edit, word and term are equal after a letter of each is cut at most, within two, after two letters of each.
         """
         n = len(word)
-        if n < self.shortest - 1 or n > 64 or word in self.innocent:
+        if n < self.shortest - 1 or n > LONGEST or word in self.innocent:
             return None
-        if n <= 10 and (word in self.short or not self.short.isdisjoint(cut_one(word))):
-            return self.near(word)
-        if self.least_long <= n <= self.longest + 2 and self.like_long(word) and not self.long.isdisjoint(cut_two(word)):
-            return self.near(word)
-        return None
-
-    def like_long(self, word: str) -> bool:
-        """Whether some long term shares a third with the word, and each has two letters at most that the other lacks."""
-        letters = None
-        for at, m in self.sizes:
-            for term in self.parts.get((at, word[at : at + m]), ()):
-                letters = letters or set(word)
-                if abs(len(term) - len(word)) <= 2 and len(letters.difference(term)) <= 2 and len(set(term) - letters) <= 2:
-                    return True
-        return False
+        found: set[str] = set()
+        if n <= 10 and self.short:
+            for x in self.short.keys() & [word, *cut_one(word)]:
+                found.update(self.short[x].split())
+        if n in self.lengths:
+            for x in self.long.keys() & cut_two(word):
+                found.update(self.long[x].split())
+        return self.near(word, found) if found else None
 
     def hit(self, word: str) -> tuple[float, bool]:
         """(weight, whether spelled as a term); weight 0 if it hits nothing."""
@@ -185,6 +170,19 @@ class Lexicon:
         return [1.0, np.log1p(used), np.log1p(quoted), np.log1p(wrong), np.log1p(sum(get(w)[0] for w in hits)), float(np.log1p(len(hits))), min(1.0, 20 * n / max(1, len(words)))]
 
 
+#: Lexicons of this process: the tasks of a worker share one, and the words that it knows.
+LEXICONS: dict[tuple, Lexicon] = {}
+
+
+def lexicon_of(weights: dict[str, float], innocent: frozenset[str], shortest: int) -> Lexicon:
+    key = (tuple(weights.items()), innocent, shortest)
+    if key not in LEXICONS:
+        if len(LEXICONS) > 1:
+            LEXICONS.clear()
+        LEXICONS[key] = Lexicon(weights, innocent, shortest)
+    return LEXICONS[key]
+
+
 class Model:
     def __init__(self, lexicon: Lexicon | None, weights: list[float]):
         self.lexicon, self.weights = lexicon, np.array(weights)

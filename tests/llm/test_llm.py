@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 import struct
@@ -265,6 +266,20 @@ def test_automaton_matches_edit_distance(word):
     assert lexicon.fuzzy(word) == max(want, key=terms.get, default=None)
 
 
+def test_all_terms_have_misspellings():
+    """However many terms, however weak, and with a stem that others share."""
+    r = random.Random(3)
+    terms = {"".join(r.choices("abcdefgh", k=r.randrange(5, 14))): 1.5 + i / 1000 for i in range(400)}
+    terms |= {"grumb*": 2.0, "grumbler": 2.1, "grumbling": 2.2, "grumbliest": 2.3, "grumblefigs": 2.4}
+    lexicon = pickle.loads(pickle.dumps(toxicity.Lexicon(terms)))
+    plain = [t for t in terms if t[-1] != "*"]
+    for term in plain:
+        word = term[:3] + "z" + term[4:]
+        want = [t for t in plain if abs(len(t) - len(word)) <= 2 and distance(word, t) <= lexicon.reach(len(t))]
+        assert term in want and lexicon.fuzzy(word) == max(want, key=terms.get)
+    assert lexicon.hit("grumzling") == (1.1, False)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows, labels = [], []
