@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,11 +158,14 @@ def new_rows(source: DataFrame, output: DataFrame) -> DataFrame:
     return out.agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("_seen").isNull(), F.col("n"))), F.lit(0)).alias("n_new")).withColumn("new_rate", F.round(F.col("n_new") / F.col("n_rows"), 6))
 
 
-def nearest(source: DataFrame, output: DataFrame, numeric: list[str], categorical: list[str] = (), cap: int = 5000, key: str | None = None) -> DataFrame:
+def nearest(source: DataFrame, output: DataFrame, numeric: list[str], categorical: list[str] = (), cap: int | None = 5000, key: str | None = None) -> DataFrame:
     """Each sampled output row's least mean Gower distance to the sampled source rows: (key, distance).
 
-    Both sides are samples of `cap` rows at most (the metric's definition); the source's is broadcast.
+    Both sides are samples of `cap` rows at most (the metric's definition); the source's is broadcast. Without a cap,
+    all rows are compared, by sorted neighbours; that takes one numeric column at most.
     """
+    if cap is None:
+        return nearest_of_all(source, output, numeric, categorical, key)
     sample = lambda df: df.orderBy(F.xxhash64(*[df[c] for c in [*numeric, *categorical]])).limit(cap)
     span = source.agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"_r{i}") for i, c in enumerate(numeric)]) if numeric else None
     s = sample(source).select(*[F.col(c).cast("double").alias(f"_s{i}") for i, c in enumerate(numeric)], *[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(categorical)])
@@ -175,6 +178,42 @@ def nearest(source: DataFrame, output: DataFrame, numeric: list[str], categorica
     return both.groupBy("_id").agg(F.min(sum(parts[1:], parts[0]) / len(parts)).alias("distance")).withColumnRenamed("_id", key or "row")
 
 
+def nearest_of_all(source: DataFrame, output: DataFrame, numeric: list[str], categorical: list[str] = (), key: str | None = None, rows: int = 100_000) -> DataFrame:
+    """nearest() of all rows. For each set of categories that may have to agree, the nearest number is a neighbour in sort order.
+
+    Numbers are sorted in buckets of about `rows` distinct rows; a bucket knows the nearest source numbers of those beside it.
+    """
+    if len(numeric) > 1:
+        raise MaskError("nearest_needs_cap", f"{len(numeric)} numeric columns")
+    value = lambda df: F.nanvl(df[numeric[0]].cast("double"), F.lit(None).cast("double")) if numeric else F.lit(None).cast("double")
+    combined = lambda df: df.withColumn("_v", value(df)).withColumn("_o", F.to_json(F.struct(*[df[c].cast("string").alias(f"c{i}") for i, c in enumerate(categorical)], F.col("_v").alias("v")), {"ignoreNullFields": "false"}))
+    group = lambda mask: F.to_json(F.struct(F.lit(mask).alias("m"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical) if mask >> i & 1]), {"ignoreNullFields": "false"})
+    ids = combined(output).withColumn("_id", F.col(key) if key else F.monotonically_increasing_id())
+    masks = range(2 ** len(categorical))
+    sets = F.explode(F.array(*[F.struct(group(m).alias("g"), F.lit(len(categorical) - m.bit_count()).alias("apart")) for m in masks])).alias("s")
+    src = combined(source).select("_v", sets).select(F.lit(None).cast("string").alias("_o"), "_v", "s.*").distinct()
+    out = ids.select("_o", "_v", sets).select("_o", "_v", "s.*").distinct()
+    both = src.withColumn("_src", F.lit(1)).unionByName(out.withColumn("_src", F.lit(0)))
+    buckets = min(1000, -(-both.count() // rows))
+    cuts = both.approxQuantile("_v", [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("_v"))) if cuts else F.lit(0)
+    both = both.withColumn("_b", F.when(F.col("_v").isNull(), -1).otherwise(bucket))
+    theirs = F.when(F.col("_src") == 1, F.col("_v"))
+    order, ends = Window.partitionBy("g", "_b").orderBy("_v"), Window.partitionBy("g").orderBy("_b")
+    near = both.withColumn("_p", F.last(theirs, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(theirs, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    edges = both.groupBy("g", "_b").agg(F.min(theirs).alias("lo"), F.max(theirs).alias("hi"), F.max("_src").alias("_any"))
+    edges = edges.select("g", "_b", F.max("hi").over(ends.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.min("lo").over(ends.rowsBetween(1, Window.unboundedFollowing)).alias("_above"), F.max("_any").over(Window.partitionBy("g")).alias("_any"))
+    found = near.where("_src = 0").join(edges, ["g", "_b"]).where("_any = 1")
+    if numeric:
+        found = found.crossJoin(F.broadcast(source.agg((F.max(numeric[0]) - F.min(numeric[0])).cast("double").alias("_r"))))
+        least = F.least(*[F.abs(F.col("_v") - F.col(c)) for c in ("_p", "_n", "_below", "_above")])
+        part = F.when(F.col("_r") > 0, F.least(least / F.col("_r"), F.lit(1.0))).otherwise(F.when(least == 0, 0.0).otherwise(1.0))
+    else:
+        part = F.lit(0.0)
+    best = found.groupBy("_o").agg(F.min((part + F.col("apart")) / (len(numeric) + len(categorical))).alias("distance"))
+    return ids.join(best, "_o").groupBy("_id").agg(F.min("distance").alias("distance")).withColumnRenamed("_id", key or "row")
+
+
 def dp_noise(snap: dict, epsilon: float, seed: int | None = None) -> dict:
     """A snapshot with Laplace noise on its counts; quantiles are removed, joints refused."""
     if epsilon <= 0:

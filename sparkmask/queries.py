@@ -435,7 +435,7 @@ def new_row_synthesis(spark, d):
 def dcr_gower(spark, d):
     c = t(spark, d, "customer").where("c_custkey <= 500").select(F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("nation"))
     s = t(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nation"))
-    return quality.nearest(c, s, ["bal"], ["nation"], key="s_suppkey").select("s_suppkey", F.round(F.least("distance", F.lit(1.0)), 9).alias("distance"))
+    return quality.nearest(c, s, ["bal"], ["nation"], cap=None, key="s_suppkey").select("s_suppkey", F.round(F.least("distance", F.lit(1.0)), 9).alias("distance"))
 
 
 @query("SELECT count(*) - count(DISTINCT o_custkey) AS n_duplicates FROM orders")

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = run_pipeline(spark, config([{"name": "name", "strategy": "hash", "namespace": "n"}]), {"t": df}).tables["t"]
     assert sorted(map(tuple, spark.table("masked_out").collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("rows", [40, 100_000])
+def test_nearest_of_all_rows(spark, rows):
+    r = random.Random(5)
+    row = lambda i: (i, None if r.random() < 0.05 else round(r.uniform(-50, 900), 2), r.choice(["a", "b", "c", None]), r.choice("xy"))
+    src, out = [row(i) for i in range(120)], [row(i) for i in range(5200)]
+    span = max(x[1] for x in src if x[1] is not None) - min(x[1] for x in src if x[1] is not None)
+    far = lambda a, b: ((1.0 if a[1] is None or b[1] is None else min(abs(a[1] - b[1]) / span, 1.0)) + (a[2] != b[2]) + (a[3] != b[3])) / 3
+    kind = "id long, v double, c string, d string"
+    a, b = spark.createDataFrame(src, kind), spark.createDataFrame(out, kind)
+    df = quality.nearest(a, b, ["v"], ["c", "d"], cap=None, key="id") if rows > 40 else quality.nearest_of_all(a, b, ["v"], ["c", "d"], "id", rows)
+    got = {x.id: x.distance for x in df.collect()}
+    assert len(got) == 5200 and all(got[o[0]] == pytest.approx(min(far(o, s) for s in src)) for o in out)
