@@ -11,11 +11,13 @@ Presentation also has a prior, since entropy can't see boilerplate that changes
 adverts): elements whose tag or class names such a part have importance 0, and if a page marks its
 article or main part, what lies outside has importance 0 too.
 
+Pages of a host that keep the same content count once, so copies of an article don't make its style look like a notice.
+
 The tree of a host is never held anywhere: (host, style, kind, value) is counted by partial aggregation, and
 only low styles, of which a site has few, go back to the pages, by a join on the host.
 
 Defined cases: null html is empty and gives the empty text; a null or bad url has the host ''; a page
-alone on its host loses only what the prior names; repeated rows count as pages of their own; unclosed tags
+alone on its host loses only what the prior names; repeated rows are each returned and count once; unclosed tags
 end with their parent; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -140,13 +141,13 @@ def contents(page: str | None):
     return [(e, htmllib.unescape(t) if t and "&" in t else t) for e, t in runs if t is None or ok(e)], [e for e in elements if ok(e)]
 
 
-def text_of(runs, low: frozenset[str] = frozenset()) -> str:
+def text_of(runs, low: frozenset[int] = frozenset()) -> str:
     blocks: list[str] = []
     part: list[str] = []
 
     def gone(e: Element) -> bool:
         while e is not None:
-            if e.style in low:
+            if digest(e.style) in low:
                 return True
             e = e.parent
         return False
@@ -168,11 +169,11 @@ def digest(x: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, style, kind, value, n): how the pages of a batch present (0) and fill (1) their elements."""
+def presented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> (host, content, styles, shown, filled): how a page presents and fills its elements, and a hash of all that it keeps."""
     for batch in batches:
-        counts: Counter = Counter()
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        rows: list[list] = [[], [], [], []]
+        for page in batch.column("html").to_pylist():
             runs, elements = contents(page)
             shown: dict[str, list[str]] = {}
             filled: dict[str, list[str]] = {}
@@ -186,10 +187,11 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if e.style in filled:
                             filled[e.style].append(t)
                         e = e.parent
-            counts.update((host, s, 0, digest("|".join(v))) for s, v in shown.items())
-            counts.update((host, s, 1, digest(" ".join("".join(v).split()))) for s, v in filled.items())
-        h, s, k, v = zip(*counts, strict=True) if counts else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(s, pa.string()), pa.array(k, pa.int32()), pa.array(v, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "style", "kind", "value", "n"])
+            values = [digest(s) for s in shown], [digest("|".join(v)) for v in shown.values()], [digest(" ".join("".join(v).split())) for v in filled.values()]
+            content = digest(repr((values, " ".join("".join(t or " " for _, t in runs).split()))))
+            for column, value in zip(rows, (content, *values), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows[0], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in rows[1:])], ["host", "content", "styles", "shown", "filled"])
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +201,11 @@ def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def low_styles(pages: DataFrame, least: float, n_pages: int) -> DataFrame:
-    """(host, low): the styles of low importance of each host that has any."""
-    rows = pages.select("host", "html").mapInArrow(merged, "host string, style string, kind int, value long, n long")
-    value = rows.groupBy("host", "style", "kind", "value").agg(F.sum("n").alias("n"))
+    """(host, low): the hashes of the styles of low importance of each host that has any; equal pages of a host count once."""
+    rows = pages.select("host", "html").mapInArrow(presented, "host string, content long, styles array<long>, shown array<long>, filled array<long>")
+    once = rows.groupBy("host", "content").agg(F.first(F.struct("styles", "shown", "filled")).alias("p"))  # what is equal in content is equal in these
+    style = once.select("host", F.explode(F.arrays_zip("p.styles", "p.shown", "p.filled")).alias("p")).select("host", F.col("p.styles").alias("style"), F.explode(F.create_map(F.lit(0), "p.shown", F.lit(1), "p.filled")).alias("kind", "value"))
+    value = style.groupBy("host", "style", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     kind = value.groupBy("host", "style", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"))
     kind = kind.where(F.col("m") >= n_pages).withColumn("importance", (F.log("m") - F.col("x") / F.col("m")) / F.log("m"))
     return kind.groupBy("host", "style").agg(F.max("importance").alias("i")).where(F.col("i") < least).groupBy("host").agg(F.collect_set("style").alias("low"))

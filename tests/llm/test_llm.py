@@ -325,6 +325,17 @@ def test_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_an_article(spark):
+    """A host, and the pages without one, that are mostly copies of one article; a notice that each page has still goes."""
+    notice = '<div class="x"><p>Terms apply to all readers of this site.</p></div>'
+    body = lambda i: f'<nav>n {i}</nav>{notice}<article><h1>Title {i}</h1><p>Text of {i}</p></article>'.replace("<article>", '<div class="art">').replace("</article>", "</div>")
+    rows = [(i, f"https://{h}.org/{i}" if h else None, page(body(0 if i % 1000 < 95 else i))) for k, h in enumerate(("mirror", None)) for i in range(1000 * k, 1000 * k + 110)]
+    rows += [(5000 + i, f"https://same.org/{i}", page("<article><p>the same</p></article>")) for i in range(20)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {0 if i % 1000 < 95 else i}\nText of {0 if i % 1000 < 95 else i}" for i in got if i < 5000)
+    assert all(got[5000 + i] == "the same" for i in range(20))
+
+
 # --- language model
 
 
