@@ -291,10 +291,9 @@ class Join:
             if dense is not None:
                 leaves = leaves.select("node", "doc").unionByName(self.blocks(dense))
             new = self.scratch.write(self.compare(leaves), "links")
-            if comp is not None and new.isEmpty():
-                return comp
-            links = new if links is None else self.scratch.write(links.unionByName(new), "links")
-            comp = self.settle(links)
+            if comp is None or not new.isEmpty():
+                links = new if links is None else self.scratch.write(links.unionByName(new), "links")
+                comp = self.settle(links)
             if dense is not None and (rest := self.rest(dense)) is not None:
                 more = self.scratch.write(self.exact(self.scratch.write(rest, "rest")), "links")
                 if not more.isEmpty():

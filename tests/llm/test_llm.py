@@ -70,6 +70,22 @@ def test_near_duplicates_match_brute_force(spark, leaf, depth):
     assert got == want
 
 
+def test_dense_nodes_are_compared_whole_without_other_links(spark, monkeypatch):
+    """Round one finds nothing, and round two has one dense node whose blocks part all similar pairs."""
+    texts = [x for i in range(30) for x in near_group(prose(60, i), 2, 0, i)]
+    texts = [x + f" end{i % 2}" for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def leaves(self, trees):
+        none = self.reps.select(F.lit(0).cast("long").alias("node"), "doc", "comp").where("false")
+        return none, None if trees.start == 0 else self.reps.select(F.lit(1).cast("long").alias("node"), "doc", "comp")
+
+    monkeypatch.setattr(near_duplicates.Join, "leaves", leaves)
+    monkeypatch.setattr(near_duplicates.Join, "blocks", lambda self, dense: dense.select("doc", F.col("doc").alias("node")).select("node", "doc"))
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs, leaf=16).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_near_duplicates_odd(spark, odd, none):
     rows = near_duplicates.near_duplicates(odd).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
