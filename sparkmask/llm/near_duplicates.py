@@ -4,16 +4,18 @@ A document is the set of its distinct five-word shingles (64-bit hashes of lower
 are equal become one at once. The others carry 128 minwise tokens and are dealt down independent trees:
 a node with few documents is compared exhaustively, a larger one branches by a minwise token that its level
 of its tree selects, so similar documents tend to stay together and unlike ones part. A pair of
-similarity s stays together for d levels of a tree with probability s^d, and misses all `trees` trees
-with (1 - s^d)^trees; nodes branch only above `leaf` documents, so d is 1 or 2 for nearly all pairs, and 12
-trees miss a pair at exactly 0.75 once in 10^7 or in 20,000.
+similarity s stays together for d levels of a tree with probability s^d, so a document whose paths end after
+d1, d2, ... levels misses it in all trees with (1 - s^d1)(1 - s^d2)... These odds are kept for each document: 12 trees
+miss a pair at exactly 0.75 once in 10^7 if they end at level 1, and in 20,000 at level 2; documents for
+which the odds are above `miss`, as their nodes branch deeper, are dealt down more trees, twelve at a time, until they aren't. On
+the last level, nodes don't branch but are compared like dense ones.
 
 Comparison has two steps. In a leaf, minwise tokens estimate each pair (128 tokens; a pair at 0.75 falls
 below 0.58 less than once in 10^5), which leaves small groups of candidates; equal groups from several
 trees become one. Then the members' full sets are built again from their texts and compared exactly.
 Within a group, documents that links already connect are not compared again, so a group of n copies
-costs about n comparisons and gives n - 1 edges. Trees run in two rounds: what the first round has connected
-is left out of the second, so a large group of copies is not met once per tree.
+costs about n comparisons and gives n - 1 edges. Trees run in rounds: what one round has connected
+is left out of the next, so a large group of copies is not met once per tree.
 
 Nodes that stay large however they branch (many near copies of one text share most tokens) are dealt into blocks of at
 most `leaf` documents, each with the same few pivots; blocks are compared like leaves. Then documents of
@@ -27,7 +29,9 @@ its set size, null component and kept true; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -201,6 +205,10 @@ class Join:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, percent: int, leaf: int, depth: int):
         self.docs, self.reps, self.scratch, self.percent, self.leaf, self.depth = docs, reps, scratch, percent, leaf, depth
+        #: (doc, w) for each level that a document's path branched at: by how much that raises the logarithm of its odds to be missed.
+        self.branched: list[DataFrame] = []
+        #: The documents that trees still take; None for all.
+        self.open: DataFrame | None = None
         self.least = percent / 100 - 4.45 * (percent / 100 * (1 - percent / 100) / TOKENS) ** 0.5
 
 
@@ -209,7 +217,18 @@ class Join:
         token = lambda i: F.expr(f"substring(tokens, {4 * i + 1}, 4)")
         chosen = {t: [(t + 41 * level) % TOKENS for level in range(self.depth)] for t in trees}
         each = [F.struct(*[F.xxhash64(F.lit(t), *map(token, chosen[t][: level + 1])).alias(f"k{level + 1}") for level in range(self.depth)]) for t in trees]
-        return self.reps.select("doc", "comp", F.explode(F.array(*each)).alias("k")).select("doc", "comp", "k.*")
+        reps = self.reps if self.open is None else self.reps.join(bounded(self.open), "doc", "left_semi")
+        return reps.select("doc", "comp", F.explode(F.array(*each)).alias("k")).select("doc", "comp", "k.*")
+
+    def odds(self, level: int) -> float:
+        """The logarithm of the odds that a tree whose path ends at a level misses a pair of least similarity."""
+        return math.log(1 - (self.percent / 100) ** level)
+
+    def short(self, trees: int, miss: float) -> DataFrame:
+        """The documents whose odds to be missed by all trees so far are above `miss`."""
+        rows = self.scratch.write(self.branched[0] if len(self.branched) == 1 else reduce(DataFrame.unionByName, self.branched), "branched")
+        self.branched = [rows.groupBy("doc").agg(F.sum("w").alias("w"))]
+        return self.scratch.write(self.branched[0].where(F.col("w") + trees * self.odds(1) > math.log(miss)).select("doc"), "short")
 
     def leaves(self, trees: range) -> tuple[DataFrame, DataFrame | None]:
         """(node, doc) of leaves with two documents at least, and of dense nodes.
@@ -231,6 +250,7 @@ class Join:
             if not large.where("alike").isEmpty():
                 dense.append(rows.where("alike").select("node", "doc", "comp"))
             at = rows.where("not alike").drop("node", "alike").withColumnRenamed("n", "before")
+            self.branched.append(at.groupBy("doc").agg((F.count(F.lit(1)) * (self.odds(level + 1) - self.odds(level))).alias("w")))
         return self.union(small), self.union(dense) if dense else None
 
     @staticmethod
@@ -283,10 +303,12 @@ class Join:
         self.reps = self.scratch.write(known.select("doc", "tokens", F.coalesce("root", "doc").alias("comp")), "reps")
         return comp
 
-    def run(self, trees: int, first: int) -> DataFrame:
+    def run(self, trees: int, first: int, miss: float) -> DataFrame:
         """(node, root) of linked representatives."""
         links = comp = None
-        for part in (range(first), range(first, trees)):
+        parts = [range(first), range(first, trees)]
+        while parts:
+            part = parts.pop(0)
             leaves, dense = self.leaves(part)
             if dense is not None:
                 leaves = leaves.select("node", "doc").unionByName(self.blocks(dense))
@@ -299,10 +321,14 @@ class Join:
                 if not more.isEmpty():
                     links = self.scratch.write(links.unionByName(more), "links")
                     comp = self.settle(links)
+            if not parts and self.branched:
+                self.open = self.short(part.stop, miss)
+                if not self.open.isEmpty():
+                    parts = [range(part.stop, part.stop + 12)]
         return comp
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, first: int = 3, leaf: int = 256, depth: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, first: int = 3, leaf: int = 256, depth: int = 6, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -310,7 +336,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = 12, first:
     made = scratch.write(docs.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, tokens binary"), "sketch")
     full = made.where("n_shingles > 0 and doc_id is not null")
     equal = scratch.write(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "reps")
-    comp = Join(docs, equal.select("doc", "tokens", F.col("doc").alias("comp")), scratch, percent, leaf, depth).run(trees, first)
+    comp = Join(docs, equal.select("doc", "tokens", F.col("doc").alias("comp")), scratch, percent, leaf, depth).run(trees, first, miss)
     named = equal.join(comp, equal["doc"] == comp["node"], "left").select("h1", "h2", "n_shingles", F.coalesce("root", "doc").alias("component_id"))
     out = made.drop("tokens").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -86,6 +86,27 @@ def test_dense_nodes_are_compared_whole_without_other_links(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+def test_deep_nodes_get_more_trees(spark, monkeypatch):
+    """Pairs just above the limit among documents that share a passage, so nodes branch four levels and more."""
+    passage, texts = prose(70, 77), []
+    for i in range(200):
+        w = prose(80, 1000 + i).split()
+        other = list(w)
+        for at in (10, 30, 50, 70):
+            other[at] = f"edit{i}x{at}"
+        texts += [passage + " " + " ".join(x) for x in (w, other)]
+    rows = list(enumerate(texts))
+    dealt, leaves = [], near_duplicates.Join.leaves
+    monkeypatch.setattr(near_duplicates.Join, "leaves", lambda self, trees: (dealt.append(trees), leaves(self, trees))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=6).collect()}
+    want = near_duplicates.brute_force(rows)
+    assert sum(i != c for i, (_, c) in want.items()) == 200 and got == want
+    assert dealt[-1].stop > 12  # twelve trees miss a pair at 0.75 once in 96 at level 4
+    dealt.clear()
+    near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=500).count()
+    assert dealt[-1].stop == 12
+
+
 def test_near_duplicates_odd(spark, odd, none):
     rows = near_duplicates.near_duplicates(odd).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
