@@ -18,7 +18,7 @@ only low styles, of which a site has few, go back to the pages, by a join on the
 
 Defined cases: null html is empty and gives the empty text; a null or bad url has the host ''; a page
 alone on its host loses only what the prior names; repeated rows are each returned and count once; unclosed tags
-end with their parent; an empty table gives no rows; other columns are ignored.
+end with their parent (buttons, selects, frames and drawings without any closing tag after them are empty, and so are self-closed inline ones); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +38,16 @@ MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 NAMES = re.compile(r"(?:\s|^)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 DIGITS = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button".split())
+#: Elements whose content is no markup, up to their closing tag.
+RAW = frozenset("script style textarea title".split())
+CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that hold no article text wherever they stand.
-ASIDE = frozenset("nav footer aside form menu dialog head figcaption".split()) | RAW
+ASIDE = frozenset("nav footer aside form menu dialog head noscript template iframe svg select button".split()) | RAW
+#: Paragraphs in these don't end one around them.
+HOLDS = ("noscript", "template", "iframe", "svg", "select", "button", "object")
 #: A new one of these ends an open one of its group.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "button": ("button",), "select": ("select",)}
 #: Words in class, id or role that name a part that isn't the article.
 PARTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|navigation|alert)(?:$|[\s_-])",
@@ -80,6 +84,14 @@ def read(page: str) -> tuple[list[tuple[Element, str]], list[Element], bool]:
     elements = [root]
     at, here, marked = 0, root, False
     n = len(page)
+    last: dict[str, int] = {}
+
+    def closes(tag: str) -> bool:
+        """Whether a closing tag follows: an element without one would take what follows it with it, so it is empty."""
+        if tag not in last:
+            last[tag] = max((x.start() for x in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
+        return last[tag] >= at
+
     while at < n:
         m = MARK.search(page, at)
         end = m.start() if m else n
@@ -105,7 +117,7 @@ def read(page: str) -> tuple[list[tuple[Element, str]], list[Element], bool]:
             continue
         if tag in BLOCK:
             e = here
-            while e.tag and e.tag != "p" and e.tag not in ("div", "td", "th", "li", "article", "section", "body"):
+            while e.tag and e.tag != "p" and e.tag not in ("div", "td", "th", "li", "article", "section", "body", *HOLDS):
                 e = e.parent
             if e.tag == "p":
                 here = e.parent
@@ -123,12 +135,14 @@ def read(page: str) -> tuple[list[tuple[Element, str]], list[Element], bool]:
         here.kids.append(label)
         new = Element(tag, f"{here.style}/{label}", aside, main, here)
         elements.append(new)
+        closed = tag not in BLOCK and bool(CLOSED.search(m[3]))
+        if closed or (aside and tag in ASIDE and tag not in BLOCK | RAW and not closes(tag)):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            here = new
+        here = new
         if tag in BLOCK:
             runs.append((here, None))
     return runs, elements, marked

@@ -362,6 +362,14 @@ def test_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_inline_parts_dont_cut_the_text():
+    read = lambda x: pages.text_of(pages.contents(page(f"<article>{x}</article>"))[0])
+    for part in ('<svg width="5"/>', "<svg/>", "<button>", "<select>", '<iframe src="x">', "<svg><title>t</title><path d='x'/></svg>", "<button>b</button>", "<select><option>o</select>", '<script src="x"/>', "<noscript><p>n</p></noscript>"):
+        assert read(f"<p>one {part}</p><p>two</p>") == "one\ntwo", part
+    assert read("<p>let <math><mi>x</mi></math> and <math/> be <object>drawn</object></p><figure><figcaption>seen</figcaption></figure>") == "let x and be drawn\nseen"
+    assert read("<p>a</p><script>var x = '<p>no</p>'</script><p>b</p>") == "a\nb"
+
+
 def test_copies_of_an_article(spark):
     """A host, and the pages without one, that are mostly copies of one article; a notice that each page has still goes."""
     notice = '<div class="x"><p>Terms apply to all readers of this site.</p></div>'
