@@ -29,7 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, crc_of_id, lower_words, signed, table
+from .common import CACHE_ENTRIES, Scratch, crc_of_id, lower_words, signed, table
+import xxhash
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 WORDS = WordHashes()
 END = np.array([0x0E2D0E2D0E2D0E2D], np.uint64)
