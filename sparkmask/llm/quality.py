@@ -35,13 +35,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, WordHashes, bounded, table, window_hashes
+from .common import BLANK, GOLDEN, LOWER, Scratch, Words, bounded, mix, portions, signed, table, window_hashes
 
 WINDOW = 8
-WORDS = WordHashes()
-OTHER = bytes(x for x in range(256) if x not in b"#*$%&|<>")
-CONTINUATION = bytes(range(0x80, 0xC0))
-DIGITS = bytes.maketrans(b"123456789", b"000000000")
+SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
+#: Bytes that begin a character other than a blank.
+BEGINS = ~BLANK & ((np.arange(256) < 0x80) | (np.arange(256) >= 0xC0))
+#: A line's words are normalised: lower case, digits as 0.
+NORMAL = LOWER.copy()
+NORMAL[48:58] = 48
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -49,53 +51,74 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 def repeated_words(hashes: np.ndarray) -> int:
     """Words that lie in a window of eight that occurs twice or more in the text."""
     w = window_hashes(hashes, WINDOW)
-    if len(w) < 2:
+    if len(w) < 2 or (np.diff(np.sort(w)) != 0).all():
         return 0
     _, inverse, counts = np.unique(w, return_inverse=True, return_counts=True)
     again = np.flatnonzero(counts[inverse] > 1)
-    if not len(again):
-        return 0
     edge = np.zeros(len(hashes) + 1, np.int32)
     np.add.at(edge, again, 1)
     np.add.at(edge, again + WINDOW, -1)
     return int(np.count_nonzero(np.cumsum(edge)[:-1]))
 
 
-def measure(text: bytes) -> tuple[int, int, int, int, int, int, list[tuple[int, int, int, int]]]:
-    """The base counts, a hash of the words, and (line hash, words, place, least window) of the distinct normalised lines.
+def repeated_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+    return len(lines) - len(set(lines))
+
+
+def in_order(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash for each run of hashes from one of `starts` to the next, which depends on their order."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    return mix(np.add.reduceat(mix(h + (place + 1).astype(np.uint64) * GOLDEN), starts))
+
+
+class Measured:
+    """Of the texts of an Arrow array: base counts, a hash of each text's words, and its distinct normalised lines.
 
-    A line's place is a hash of the lines before and after it; its least window is that of the windows that start in it.
+    A line has its hash, words (of all its occurrences), place (a hash of the lines before and after it) and least window
+    (the least hash of the windows of eight words that start in it; without one, the line's own hash).
     """
-    words = text.split()
-    joined = b"".join(words)
-    word_chars = len(joined.translate(None, CONTINUATION))
-    symbols = len(text.translate(None, OTHER))
-    seen: set[bytes] = set()
-    dup = 0
-    keys, sizes = [], []
-    for line in text.split(b"\n"):
-        parts = line.split()
-        if not parts:
-            continue
-        if line in seen:
-            dup += 1
-        seen.add(line)
-        keys.append(xxhash.xxh3_64_intdigest(b" ".join(parts).lower().translate(DIGITS)))
-        sizes.append(len(parts))
-    hashes = WORDS.of(words)
-    w = window_hashes(hashes, WINDOW)
-    starts = np.cumsum([0, *sizes[:-1]]) if sizes else np.empty(0, np.int64)
-    inside = int(np.searchsorted(starts, len(w)))  # lines in which a window starts
-    least = [*np.minimum.reduceat(w, starts[:inside]).tolist(), *keys[inside:]] if inside else keys
-    lines: dict[int, list[int]] = {}
-    around = [0, *keys, 0]
-    for i, (key, n) in enumerate(zip(keys, sizes, strict=True)):
-        if key in lines:
-            lines[key][0] += n
-        else:
-            lines[key] = [n, xxhash.xxh3_64_intdigest(b"%d %d" % (around[i], around[i + 2])), least[i]]
-    copy = xxhash.xxh3_64_intdigest(b" ".join(words))
-    return len(words), word_chars, symbols, dup, repeated_words(hashes), copy, [(key, *x) for key, x in lines.items()]
+
+    def __init__(self, texts: pa.Array):
+        words = Words(texts)
+        raw, at, off = words.raw, words.at, words.off
+        count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[off])
+        self.n_words, self.word_chars, self.n_symbols = np.diff(at), count(BEGINS[raw]), count(SYMBOL[raw])
+        self.n_dup_lines = [repeated_lines(raw[lo:hi].tobytes()) for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        own, normal = words.hashed(), words.hashed(NORMAL)
+        row = np.searchsorted(np.flatnonzero(raw == 10), words.starts)  # newlines before each word
+        new = np.ones(len(own), bool)
+        new[1:] = row[1:] != row[:-1]
+        new[at[:-1][at[:-1] < len(own)]] = True
+        starts = np.flatnonzero(new)
+        keys = in_order(normal, starts)
+        sizes = np.diff(np.append(starts, len(own)))
+        first = np.searchsorted(starts, at)  # of each text, its first line
+        self.n_repeat_words, self.copy, self.lines = [], [], []
+        for i in range(len(texts)):
+            lo, hi = at[i], at[i + 1]
+            hashes = own[lo:hi]
+            self.n_repeat_words.append(repeated_words(hashes))
+            self.copy.append(int(in_order(hashes, np.zeros(1, np.int64))[0]) if hi > lo else 0)
+            self.lines.append(self.of(keys[first[i] : first[i + 1]], sizes[first[i] : first[i + 1]], starts[first[i] : first[i + 1]] - lo, hashes))
+
+    @staticmethod
+    def of(keys: np.ndarray, sizes: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, words, place, least window) of the distinct lines of a text, by the first occurrence of each."""
+        if not len(keys):
+            return keys, sizes, keys, keys
+        w = window_hashes(hashes, WINDOW)
+        inside = int(np.searchsorted(starts, len(w)))  # lines in which a window starts
+        least = keys.copy()
+        if inside:
+            least[:inside] = np.minimum.reduceat(w, starts[:inside])
+        around = np.concatenate([np.zeros(1, np.uint64), keys, np.zeros(1, np.uint64)])
+        place = mix(around[:-2] * GOLDEN + mix(around[2:]))
+        distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        return distinct, np.bincount(which, sizes).astype(np.int64), place[at], least[at]
 
 
 def to_signed(x: int) -> int:
@@ -120,27 +143,24 @@ def with_key(docs: DataFrame, into: str) -> DataFrame:
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document: its base counts, a key of its content, and its lines as arrays."""
-    for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-        ids, hosts = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
-        base: list[list[int]] = [[] for _ in range(5)]
-        copy, key, lines, words, place, least = [], [], [], [], [], []
-        for doc_id, host, text in zip(ids, hosts, texts, strict=True):
-            *counts, same, found = measure(text or b"")
-            for column, value in zip(base, counts, strict=True):
-                column.append(value)
-            copy.append(to_signed(same))
-            key.append(content_key(doc_id, host, text))
-            lines.append([to_signed(x) for x, _, _, _ in found])
-            words.append([n for _, n, _, _ in found])
-            place.append([to_signed(x) for _, _, x, _ in found])
-            least.append([to_signed(x) for _, _, _, x in found])
+    for batch in (p for b in batches for p in portions(b)):
+        ids, hosts, texts = (batch.column(c) for c in ("doc_id", "source", "text"))
+        m = Measured(texts)
+        key = [content_key(*r) for r in zip(ids.to_pylist(), hosts.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), strict=True)]
+        base = [pa.array(x, pa.int64()) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)]
+        lines = [lists([signed(x) if x.dtype == np.uint64 else x for x in column]) for column in zip(*m.lines, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), *(pa.array(x, pa.int64()) for x in base), pa.array(copy, pa.int64()), pa.array(key, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (lines, words, place, least))],
+            [ids, hosts, *base, pa.array(list(map(to_signed, m.copy)), pa.int64()), pa.array(key, pa.int64()), *lines],
             ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "copy", "key", "lines", "words", "place", "least"],
         )
 
 
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """An array of lists of longs."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).astype(np.int64)))
+
+
 def both(a: str, b: str, *columns: str) -> Column:
     """Equality of columns of the aliases a and b, where nulls are equal."""
     each = [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
