@@ -41,31 +41,54 @@ def context(plan: Plan, table: str, c: MaskColumn, df: DataFrame, nfc: bool = Fa
     return strategies.Context(plan.kernel, c.name, plan.namespaces.get((table, c.name)), options, c.deterministic or c.allow_collisions, c.provider, nfc, int(size), row, tuple(df.columns))
 
 
+KEYED_TEXTS = ("hash", "categorical", "faker", "composite")
+
+
+def rewritten(plan: Plan, table: str, df: DataFrame, columns: tuple[str, ...] | None = None) -> set[str]:
+    """The columns (of `columns`) whose digests need their texts normalised first."""
+    return set(needs_nfc(df, [c.name for c in plan.config.tables[table].columns if c.strategy in KEYED_TEXTS and (columns is None or c.name in columns)]))
+
+
+def value_mask(plan: Plan, table: str, c: MaskColumn, df: DataFrame, nfc: bool, inner: dict[str, Column] | None = None, column: Column | None = None) -> Column:
+    """What a column's value becomes by its own row alone: tables, keys of foreign keys and streams have the same expression.
+
+    `column` stands for the table's own column; another one (a child's key) is masked whatever `when` says, as its row has
+    no columns of the parent.
+    """
+    ctx = context(plan, table, c, df, nfc)
+    kind = df.schema[c.name].dataType
+    if inner is not None and c.strategy in ("categorical", "faker", "date_shift"):
+        ctx.inner = inner
+    if c.strategy == "date_shift" and "date_format" not in ctx.options:
+        if df.isStreaming:
+            raise MaskError("stream_unsupported", f"{table}.{c.name}: date_shift on a stream needs a date_format")
+        ctx.options["date_format"] = strategies.detect_format(df, c.name)
+    own = F.col(f"`{c.name}`")
+    masked = strategies.strategy(c.strategy)(own if column is None else column, kind, ctx)
+    if not c.when or column is not None:
+        return masked
+    made = df.select("*", *[v.alias(k) for k, v in (inner or {}).items()])
+    return strategies.gate(transforms.predicate(df, c.when, "when"), masked, own.cast(masked_type(made, masked)))
+
+
 def mask_columns(plan: Plan, table: str, df: DataFrame) -> DataFrame:
     """The table with all columns masked that aren't foreign keys of it."""
     spec = plan.config.tables[table]
     children = {x for e in plan.edges if e.child_table == table for x in e.child_columns}
     mine = [c for c in spec.columns if c.name not in children]
-    rewrite = set(needs_nfc(df, [c.name for c in mine if c.strategy in ("hash", "categorical", "faker", "composite")]))
+    rewrite = rewritten(plan, table, df, tuple(c.name for c in mine))
     plain: dict[str, Column] = {}
     inner: dict[str, Column] = {}
     for c in mine:
-        ctx = context(plan, table, c, df, c.name in rewrite)
-        kind = df.schema[c.name].dataType
-        if c.strategy in ("categorical", "faker", "date_shift", "composite"):
-            ctx.inner = inner
         if c.strategy in ("shuffle",) or (c.strategy == "faker" and c.cardinality_mode != "reuse"):
             continue
         if c.strategy == "composite":
-            made = composite.bundle(ctx.digest(F.col(c.name), kind), c.provider, c.provider_config)
+            ctx = context(plan, table, c, df, c.name in rewrite)
+            ctx.inner = inner
+            made = composite.bundle(ctx.digest(F.col(c.name), df.schema[c.name].dataType), c.provider, c.provider_config)
             plain.update({out: F.when(F.col(c.name).isNotNull(), made[k]) for out, k in zip([c.name, *c.coherent_with], made, strict=True)})
             continue
-        if c.strategy == "date_shift" and "date_format" not in ctx.options:
-            ctx.options["date_format"] = strategies.detect_format(df, c.name)
-        masked = strategies.strategy(c.strategy)(F.col(f"`{c.name}`"), kind, ctx)
-        if c.when:
-            masked = strategies.gate(transforms.predicate(df, c.when, "when"), masked, F.col(f"`{c.name}`").cast(masked_type(df.select("*", *[v.alias(k) for k, v in inner.items()]), masked)))
-        plain[c.name] = masked
+        plain[c.name] = value_mask(plan, table, c, df, c.name in rewrite, inner)
     out = df.select("*", *[v.alias(k) for k, v in inner.items()]) if inner else df
     out = out.select(*[plain[x].alias(x) if x in plain else F.col(f"`{x}`") for x in df.columns])
     for c in mine:
@@ -87,16 +110,14 @@ def masked_type(df: DataFrame, masked: Column) -> T.DataType:
 
 
 def key_columns(plan: Plan, table: str, df: DataFrame, columns: tuple[str, ...]) -> dict[str, Column]:
-    """What a parent's key columns become, as expressions over its source."""
+    """What a parent's key columns become, as expressions over its source: the same as in the parent's own table."""
     out = {}
+    rewrite = rewritten(plan, table, df, columns)
     for c in plan.config.tables[table].columns:
         if c.name in columns:
             if c.strategy in ("shuffle", "composite") or c.cardinality_mode != "reuse":
                 raise MaskError("fk_parent_strategy_unsupported", f"{table}.{c.name}: {c.strategy}")
-            ctx = context(plan, table, c, df)
-            if c.strategy == "date_shift" and "date_format" not in ctx.options:
-                ctx.options["date_format"] = strategies.detect_format(df, c.name)
-            out[c.name] = strategies.strategy(c.strategy)(F.col(f"`{c.name}`"), df.schema[c.name].dataType, ctx)
+            out[c.name] = value_mask(plan, table, c, df, c.name in rewrite)
     return out
 
 
@@ -110,11 +131,12 @@ def resolve_keys(plan: Plan, table: str, masked: DataFrame, sources: dict[str, D
             made = key_columns(plan, e.parent_table, parent, e.parent_columns)
             maps.append(relations.key_map(parent, made, e.parent_columns))
             if e.orphan_policy == "remap" and remapped is None:
+                unsafe = set(needs_nfc(sources[table], list(columns)))
                 remapped = []
                 for pc, cc in zip(e.parent_columns, columns, strict=True):
                     spec = next((c for c in plan.config.tables[e.parent_table].columns if c.name == pc), None)
-                    ctx = context(plan, e.parent_table, spec, parent) if spec else None
-                    remapped.append(strategies.strategy(spec.strategy)(F.col(cc).cast(parent.schema[pc].dataType), parent.schema[pc].dataType, ctx) if spec else F.col(cc))
+                    own = F.col(cc).cast(parent.schema[pc].dataType)
+                    remapped.append(value_mask(plan, e.parent_table, spec, parent, cc in unsafe, column=own) if spec else F.col(cc))
         policy = edges[0].orphan_policy
         if policy in ("fail", "warn"):
             n = relations.orphans(sources[table], columns, [(sources[e.parent_table], e.parent_columns) for e in edges]).count()

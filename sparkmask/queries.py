@@ -163,7 +163,10 @@ def faker_unique(spark, d):
     return out.agg(F.count("n_name").alias("n"), F.count_distinct("n_name").alias("n_masked"))
 
 
-@query()
+FULL_NAMES = strategies.pool_of(strategies.Context(K, "c_name", "p", {}, True, "person_full_name", False, 2000, None, ()), "person_full_name")
+
+
+@query(f"SELECT c_custkey, [{', '.join(repr(x) for x in FULL_NAMES)}][1 + {sql_index(text_key('p', 'c_name'), len(FULL_NAMES))}] AS c_name FROM customer")
 def faker_reuse(spark, d):
     return masked(spark, d, "customer", [{"name": "c_name", "strategy": "faker", "provider": "person_full_name", "namespace": "p", "pool_size": 2000}], ["c_custkey", "c_name"])
 
@@ -256,6 +259,29 @@ def fk_orphans(spark, d):
     return relations.orphans(s["orders"], ("o_custkey",), [(s["customer"], ("c_custkey",))]).select("o_orderkey", "o_custkey")
 
 
+@query(f"SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN {key('cid', 'o_custkey')} ELSE CAST(o_custkey AS VARCHAR) END AS o_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def fk_gated_parent(spark, d):
+    """The parent's `when` decides which keys change, in the children as in the parent."""
+    config = fk_config("preserve")
+    config["tables"]["customer"]["columns"][0]["when"] = "c_mktsegment == 'BUILDING'"
+    s = {"customer": t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "orders": t(spark, d, "orders").select("o_orderkey", "o_custkey")}
+    return run_pipeline(spark, config, s).tables["orders"]
+
+
+@query(f"SELECT s_suppkey, {text_key('nn', "n_name || 'é'")} AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def fk_unnormalised(spark, d):
+    """Keys with decomposed letters: parent and child get the digest of the composed form."""
+    n = t(spark, d, "nation").select(F.concat("n_name", F.lit("e\u0301")).alias("name"), "n_nationkey")
+    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("name").alias("nation"))
+    config = {
+        "global_settings": {"seed": SEED},
+        "tables": {"nation": {"columns": [{"name": "name", "strategy": "hash", "namespace": "nn"}]}, "supplier": {"columns": []}},
+        "relationships": [{"parent_table": "nation", "parent_columns": ["name"], "child_table": "supplier", "child_columns": ["nation"], "namespace": "nn", "orphan_policy": "remap"}],
+    }
+    out = run_pipeline(spark, config, {"nation": n.select("name"), "supplier": s}).tables
+    return out["supplier"].join(out["nation"], F.col("nation") == F.col("name"), "left_semi")
+
+
 @query(f"SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_keys, CAST(round(sum(o_totalprice), 0) AS BIGINT) AS total FROM (SELECT {key('cid', 'o_custkey')} AS o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))")
 def fk_join_after_mask(spark, d):
     s = {"customer": t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "orders": t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")}
@@ -431,9 +457,9 @@ def new_row_synthesis(spark, d):
     return quality.new_rows(o, out).select("n_rows", "n_new")
 
 
-@query("SELECT s_suppkey, round(min((abs(s_acctbal - c_acctbal) / r + CASE WHEN s_nationkey = c_nationkey THEN 0.0 ELSE 1.0 END) / 2), 9) AS distance FROM supplier, (SELECT c_acctbal, c_nationkey FROM customer WHERE c_custkey <= 500), (SELECT max(c_acctbal) - min(c_acctbal) AS r FROM customer WHERE c_custkey <= 500) GROUP BY s_suppkey")
+@query("SELECT s_suppkey, round(min((abs(s_acctbal - c_acctbal) / r + CASE WHEN s_nationkey = c_nationkey THEN 0.0 ELSE 1.0 END) / 2), 9) AS distance FROM supplier, customer, (SELECT max(c_acctbal) - min(c_acctbal) AS r FROM customer) GROUP BY s_suppkey")
 def dcr_gower(spark, d):
-    c = t(spark, d, "customer").where("c_custkey <= 500").select(F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("nation"))
+    c = t(spark, d, "customer").select(F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("nation"))
     s = t(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nation"))
     return quality.nearest(c, s, ["bal"], ["nation"], cap=None, key="s_suppkey").select("s_suppkey", F.round(F.least("distance", F.lit(1.0)), 9).alias("distance"))
 
@@ -498,8 +524,7 @@ def gen_formula(spark, d):
 # --- streams -------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT event_id, {key('user', 'user_id')} AS user_id, event_type FROM events")
-def stream_mask_events(spark, d):
+def streamed(spark, d, column: dict):
     """The stream of the events file, masked and run to its end into a table in the shared folder."""
     import uuid
 
@@ -510,12 +535,23 @@ def stream_mask_events(spark, d):
     at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = t(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "user_id", "event_type")
-    plan = compile_plan({"global_settings": {"seed": SEED}, "tables": {"events": {"columns": [{"name": "user_id", "strategy": "hash", "namespace": "user"}]}}})
+    plan = compile_plan({"global_settings": {"seed": SEED}, "tables": {"events": {"columns": [column]}}})
     run = mask_stream(plan, "events", stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
+@query(f"SELECT event_id, {key('user', 'user_id')} AS user_id, event_type FROM events")
+def stream_mask_events(spark, d):
+    return streamed(spark, d, {"name": "user_id", "strategy": "hash", "namespace": "user"})
+
+
+@query(f"SELECT event_id, CASE WHEN event_type = 'click' THEN {key('user', 'user_id')} ELSE CAST(user_id AS VARCHAR) END AS user_id, event_type FROM events")
+def stream_when(spark, d):
+    """A stream keeps the rows that `when` leaves alone."""
+    return streamed(spark, d, {"name": "user_id", "strategy": "hash", "namespace": "user", "when": "event_type == 'click'"})
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def window_tumbling(spark, d):
     from .streaming.masks import tumbling

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from ..errors import MaskError
 from ..operators import relations
-from ..operators.strategies import strategy
 from ..plans.compile import Plan, streamable
 
 
 def mask_stream(plan: Plan, table: str, stream: DataFrame) -> DataFrame:
-    """The same select as for a batch; refused if a column needs more than its row."""
-    from ..plans.run import context
+    """The same expressions as for a batch, `when` included; refused if a column needs more than its row.
+
+    A stream can't be asked beforehand whether its texts need normalising, so those of keyed strategies are looked at one by one.
+    """
+    from ..plans.run import KEYED_TEXTS, value_mask
 
     if not streamable(plan, table):
         raise MaskError("stream_unsupported", table)
-    masked = {c.name: strategy(c.strategy)(F.col(c.name), stream.schema[c.name].dataType, context(plan, table, c, stream)) for c in plan.config.tables[table].columns}
+    masked = {c.name: value_mask(plan, table, c, stream, c.strategy in KEYED_TEXTS) for c in plan.config.tables[table].columns}
     return stream.select(*[masked[x].alias(x) if x in masked else F.col(x) for x in stream.columns])
 
 
