@@ -3,9 +3,8 @@
 The lexicon is learnt: terms that labelled toxic documents use significantly more often than other labelled
 ones, by the log odds of document frequencies. A word of a text hits a term if it equals it, or if it lies
 within one edit (two for terms of ten letters and more). Every term of five letters or more has misspellings.
-They are found by walking a trie with the states of the word's Levenshtein automaton; the trie holds
-the terms that equal the word after cuts of as many letters, which an index of all cuts of all terms gives. Words within
-reach of a term that labelled clean documents use are known to be innocent and don't hit.
+They are found by walking the trie of all terms with the states of the Levenshtein automata of all words of many
+texts at once. Words within reach of a term that labelled clean documents use are known to be innocent and don't hit.
 
 Each hit's context decides how it counts: hits between quotation marks, or with a word of report close by in
 front, are quoted, others are used. A logistic model on the logarithms of the summed weights of used, quoted
@@ -31,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, Scratch, crc_of_id, table
+from .common import Scratch, crc_of_id, table
 
 TOKEN = re.compile(r"[\w@$]+")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
 REPORT = re.compile(r"\b(?:said|says|wrote|quote[ds]?|called|calling|word|term|dit|écrit|sagte|schrieb|dijo|escribió)\b")
 AROUND = 48
-#: Letters up to which a word is taken for a misspelling.
-LONGEST = 64
+#: Words that a task remembers.
+KNOWN = 200_000
 FEATURES = 7
 
 
@@ -47,13 +46,71 @@ def stem(word: str) -> str | None:
     return word[:5] + "*" if len(word) >= 7 else None
 
 
-def cut_one(word: str) -> list[str]:
-    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+class Trie:
+    """Terms of one reach, and the walk of many words' Levenshtein automata over them at once.
 
+    A word's automaton has read d letters of a term; its state is the band of edit distances between these and the word's
+    first d - k .. d + k letters. The states of all words that are still within reach of a node's prefix are one
+    array, and a step to a child moves them together. Words leave a branch when no distance in their band is within
+    reach, or when their length can't match a term below.
+    """
 
-def cut_two(word: str) -> list[str]:
-    """The word without two of its letters, without one, and whole."""
-    return [word[:i] + word[i + 1 : j] + word[j + 1 :] for j in range(1, len(word)) for i in range(j)] + cut_one(word) + [word]
+    def __init__(self, terms: list[str], reach: int):
+        self.reach = reach
+        self.root: dict = {}
+        self.longest = max(map(len, terms), default=0)
+        self.shortest = min(map(len, terms), default=0)
+        for term in sorted(terms):
+            node = self.root
+            for c in term:
+                node = node.setdefault(c, {})
+            node[""] = term
+        self.spans: dict[int, tuple[int, int]] = {}
+        self.measure(self.root, 0)
+
+    def measure(self, node: dict, depth: int) -> tuple[int, int]:
+        """Least and most letters of the terms below a node."""
+        below = [(depth, depth)] if "" in node else []
+        below += [self.measure(child, depth + 1) for c, child in node.items() if c]
+        found = (min(lo for lo, _ in below), max(hi for _, hi in below)) if below else (0, 0)
+        self.spans[id(node)] = found
+        return found
+
+    def near(self, words: list[str]) -> Iterator[tuple[str, str]]:
+        """(word, term) of all pairs within reach."""
+        k = self.reach
+        words = [w for w in words if self.shortest - k <= len(w) <= self.longest + k]
+        if not words or not self.root:
+            return
+        lens = np.array([len(w) for w in words])
+        letters = np.full((len(words), self.longest + 3 * k + 1), -1, np.int32)  # column k + i: letter i
+        letters[:, k : k + self.longest + k] = np.array(words, f"<U{self.longest + k}").view(np.int32).reshape(len(words), -1)
+        letters[letters == 0] = -1
+        far = k + 2
+        start = np.full((len(words), 2 * k + 1), far, np.int8)
+        start[:, k:] = np.arange(k + 1)
+        stack = [(self.root, 0, np.arange(len(words)), start)]
+        while stack:
+            node, d, alive, state = stack.pop()
+            if "" in node:
+                at = lens[alive] - d + k
+                inside = (at >= 0) & (at <= 2 * k)
+                for i in alive[inside][state[inside, at[inside]] <= k].tolist():
+                    yield words[i], node[""]
+            for c, child in node.items():
+                if not c:
+                    continue
+                lo, hi = self.spans[id(child)]
+                fits = (lens[alive] >= lo - k) & (lens[alive] <= hi + k)
+                rows, old = alive[fits], state[fits]
+                new = old + (letters[rows, d : d + 2 * k + 1] != ord(c))
+                new[:, :-1] = np.minimum(new[:, :-1], old[:, 1:] + 1)
+                for t in range(1, 2 * k + 1):
+                    new[:, t] = np.minimum(new[:, t], new[:, t - 1] + 1)
+                np.minimum(new, far, out=new)
+                within = new.min(axis=1) <= k if len(new) else np.empty(0, bool)
+                if within.any():
+                    stack.append((child, d + 1, rows[within], new[within].astype(np.int8)))
 
 
 class Lexicon:
@@ -61,20 +118,8 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float], innocent: frozenset[str] = frozenset(), shortest: int = 5):
         self.weights, self.innocent, self.shortest = weights, innocent, shortest
-        #: What is left of terms after cuts, and the terms, divided by spaces: one letter at most of those within one edit, two of the others.
-        self.short: dict[str, str] = {}
-        self.long: dict[str, str] = {}
-        self.lengths: set[int] = set()
-        for term in weights:
-            if not shortest <= len(term) <= LONGEST + 2 or term[-1] == "*":
-                continue
-            if self.reach(len(term)) == 1:
-                index, left = self.short, {term, *cut_one(term)}
-            else:
-                index, left = self.long, set(cut_two(term))
-                self.lengths.update(range(len(term) - 2, len(term) + 3))
-            for x in left:
-                index[x] = f"{index[x]} {term}" if x in index else term
+        plain = [t for t in weights if len(t) >= shortest and t[-1] != "*"]
+        self.tries = [Trie([t for t in plain if self.reach(len(t)) == k], k) for k in (1, 2)]
         self.known: dict[str, tuple[float, bool]] = {}
 
     def __reduce__(self):
@@ -84,72 +129,63 @@ class Lexicon:
     def reach(length: int) -> int:
         return 2 if length >= 10 else 1
 
-    def near(self, word: str, terms: set[str]) -> str | None:
-        """The heaviest of the terms within reach of the word, by their trie's nodes and the automaton's states."""
-        trie: dict = {}
-        for term in terms:
-            node = trie
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-        best: str | None = None
-        stack = [(trie, [(0, 0)])]
-        most = self.reach(len(word) + 2)
-        while stack:
-            node, states = stack.pop()
-            if (term := node.get("")) is not None and min((e + len(word) - i for i, e in states), default=99) <= self.reach(len(term)) and (best is None or self.weights[term] > self.weights[best]):
-                best = term
-            for c, below in node.items():
-                if c == "":
-                    continue
-                reached: dict[int, int] = {}
-                for i, e in states:  # i letters of the word read, e edits
-                    for skip in range(most - e + 1):  # letters of the word that the term lacks
-                        if i + skip < len(word) and word[i + skip] == c:
-                            reached[i + skip + 1] = min(reached.get(i + skip + 1, 99), e + skip)
-                    if e < most:
-                        reached[i] = min(reached.get(i, 99), e + 1)
-                        if i < len(word):
-                            reached[i + 1] = min(reached.get(i + 1, 99), e + 1)
-                if reached:
-                    stack.append((below, list(reached.items())))
-        return best
+    def near(self, words: list[str]) -> dict[str, str]:
+        """The term that each misspelt word stands for: the heaviest within reach, of equal ones the first by the alphabet."""
+        found: dict[str, str] = {}
+        weights = self.weights
+        for trie in self.tries:
+            for word, term in trie.near([w for w in words if w not in self.innocent]):
+                best = found.get(word)
+                if best is None or (-weights[term], term) < (-weights[best], best):
+                    found[word] = term
+        return found
 
     def fuzzy(self, word: str) -> str | None:
-        """The term that a misspelt word stands for. Only terms that can lie within reach of the word enter the trie.
-
-        Within one edit, word and term are equal after a letter of each is cut at most, within two, after two letters of each.
-        """
-        n = len(word)
-        if n < self.shortest - 1 or n > LONGEST or word in self.innocent:
-            return None
-        found: set[str] = set()
-        if n <= 10 and self.short:
-            for x in self.short.keys() & [word, *cut_one(word)]:
-                found.update(self.short[x].split())
-        if n in self.lengths:
-            for x in self.long.keys() & cut_two(word):
-                found.update(self.long[x].split())
-        return self.near(word, found) if found else None
+        return self.near([word]).get(word)
+
+    def learn(self, words: set[str]) -> None:
+        """Looks words up, all in one walk."""
+        if len(self.known) + len(words) > KNOWN:
+            self.known.clear()
+        rest = []
+        for word in words:
+            if word in self.known:
+                continue
+            if (w := max((self.weights[x] for x in (word, stem(word)) if x in self.weights), default=0.0)) > 0:
+                self.known[word] = (w, True)
+            else:
+                self.known[word] = (0.0, False)
+                rest.append(word)
+        for word, term in self.near(sorted(rest)).items():
+            self.known[word] = (self.weights[term] / 2, False)
 
     def hit(self, word: str) -> tuple[float, bool]:
         """(weight, whether spelled as a term); weight 0 if it hits nothing."""
-        if (found := self.known.get(word)) is None:
-            if len(self.known) >= 2 * CACHE_ENTRIES:
-                self.known.clear()
-            if (w := max((self.weights[x] for x in (word, stem(word)) if x in self.weights), default=0.0)) > 0:
-                found = (w, True)
-            else:
-                term = self.fuzzy(word)
-                found = (self.weights[term] / 2, False) if term else (0.0, False)
-            self.known[word] = found
-        return found
+        if word not in self.known:
+            self.learn({word})
+        return self.known[word]
+
+    def all_features(self, texts: list[str | None], letters: int = 4_000_000) -> list[list[float]]:
+        """The features of texts, whose words are looked up for about so many letters of text at a time."""
+        out: list[list[float]] = []
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            words: set[str] = set()
+            while hi < len(texts) and (hi == lo or size < letters):
+                size += len(texts[hi] or "")
+                words.update(TOKEN.findall((texts[hi] or "").lower()))
+                hi += 1
+            self.learn(words)
+            out += [self.features(t) for t in texts[lo:hi]]
+            lo = hi
+        return out
 
     def features(self, text: str | None) -> list[float]:
         low = (text or "").lower()
         words = TOKEN.findall(low)
-        known, get = self.known, self.hit
-        hits = {w for w in set(words) if (known.get(w) or get(w))[0]}
+        get = self.hit
+        hits = {w for w in set(words) if get(w)[0]}
         if not hits:
             return [1.0, *[0.0] * (FEATURES - 1)]
         used = quoted = wrong = 0.0
@@ -190,7 +226,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.lexicon is None:
             return np.zeros(len(texts))
-        x = np.array([self.lexicon.features(t) for t in texts]).reshape(len(texts), FEATURES)
+        x = np.array(self.lexicon.all_features(texts)).reshape(len(texts), FEATURES)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -207,16 +243,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def count_words(pick):
-    """(toxic, text) -> (word, pos, neg): in how many documents of each kind, for words that pick(word) keeps."""
+def count_words(pick, lexicon: Lexicon | None = None):
+    """(toxic, text) -> (word, pos, neg): in how many documents of each kind, for the words of it that pick(words) keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = set(TOKEN.findall((text or "").lower()))
-                words |= {x for w in words if (x := stem(w))}
-                counts[toxic].update(w for w in words if pick(w))
+            sets = [set(TOKEN.findall((text or "").lower())) for text in batch.column("text").to_pylist()]
+            if lexicon is not None:
+                lexicon.learn(set().union(*sets))
+            for toxic, words in zip(batch.column("toxic").to_pylist(), sets, strict=True):
+                counts[toxic].update(pick(words | {x for w in words if (x := stem(w))}))
         words = list(counts[0] | counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "pos", "neg"])
 
@@ -236,8 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000,
     if len(n) < 2:
         return Model(None, [])
 
-    def counted(rows: DataFrame, pick, least: int = 1) -> list:
-        return rows.select("toxic", "text").mapInArrow(count_words(pick), "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= least).collect()
+    def counted(rows: DataFrame, pick, least: int = 1, learn: Lexicon | None = None) -> list:
+        return rows.select("toxic", "text").mapInArrow(count_words(pick, learn), "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= least).collect()
 
     def odds(pos: int, neg: int) -> tuple[float, float]:
         """Log odds of the document frequencies, and twice the log likelihood ratio of their difference."""
@@ -246,21 +283,22 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000,
         parts = [(pos, n[1] * rate), (neg, n[0] * rate), (n[1] - pos, n[1] * (1 - rate)), (n[0] - neg, n[0] * (1 - rate))]
         return w, 2 * sum(o * float(np.log(o / e)) for o, e in parts if o > 0 and e > 0)
 
-    candidates = {r["word"]: r["pos"] for r in counted(for_terms.where("toxic = 1"), lambda w: True, least)}  # words of the sample's toxic rows
-    negative = {r["word"]: r["neg"] for r in counted(for_terms.where("toxic = 0"), candidates.__contains__)}
+    candidates = {r["word"]: r["pos"] for r in counted(for_terms.where("toxic = 1"), lambda words: words, least)}  # words of the sample's toxic rows
+    negative = {r["word"]: r["neg"] for r in counted(for_terms.where("toxic = 0"), candidates.keys().__and__)}
     rated = {w: odds(p, negative.get(w, 0)) for w, p in candidates.items()}
     chosen = sorted(((s, w) for w, (o, s) in rated.items() if s >= g2 and o >= 1.5), reverse=True)[:terms]
     if not chosen:
         return Model(None, [])
     weights = {w: rated[w][0] for _, w in chosen}
     bare = Lexicon(weights)
-    close = counted(for_terms, lambda w: w[-1] != "*" and bare.hit(w)[0] > 0 and not bare.hit(w)[1])
+    close = counted(for_terms, lambda words: {w for w in words if w[-1] != "*" and bare.hit(w)[0] > 0 and not bare.hit(w)[1]}, learn=bare)
     innocent = frozenset(r["word"] for r in close if r["neg"] and odds(r["pos"], r["neg"])[0] < 1.5)
     lexicon = Lexicon(weights, innocent)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([lexicon.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(lexicon.all_features(batch.column("text").to_pylist()), pa.list_(pa.float64()))], ["toxic", "x"])
+        lexicon.known.clear()
 
     got = for_model.select("toxic", "text").mapInArrow(featured, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()  # of the bounded sample
     if len({r["toxic"] for r in got}) < 2:
@@ -276,6 +314,8 @@ def with_scores(docs: DataFrame, model: Model, into: str = "score") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column("text").to_pylist()), pa.float64())], [*batch.schema.names, into])
+        if model.lexicon is not None:
+            model.lexicon.known.clear()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
