@@ -19,9 +19,11 @@ occur; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, Scratch, table, tokenizer_file
+from .common import Scratch, table, tokenizer_file
 
 END = np.zeros(1, "<u4").tobytes()
 
@@ -38,6 +40,12 @@ END = np.zeros(1, "<u4").tobytes()
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 
 
+#: A space beside a blank of any kind.
+TOUCHING = re.compile(r" \s|\s ")
+#: Words whose ids a task remembers: about 150 bytes each.
+KNOWN = 200_000
+
+
 class Ids(dict):
     """Token ids (little-endian bytes) of a word with the space before it, remembered up to a bound."""
 
@@ -65,15 +73,15 @@ class Ids(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= KNOWN:
             self.clear()
         value = self[word] = self.of(" " + word)
         return value
 
     def whole(self, text: str) -> bytes:
-        """Ids of a text. The tokenizer splits before a space that a word follows, so words are
-        encoded one by one; where spaces touch, a run is one unit, and the text goes through whole."""
-        if "  " in text:
+        """Ids of a text. The tokenizer splits before a space that stands between two other characters than blanks,
+        so words are encoded one by one; where a space touches a blank of any kind, the text goes through whole."""
+        if TOUCHING.search(text):
             return self.of(text)
         first, *rest = text.split(" ")
         return self.of(first) + b"".join(map(self.__getitem__, rest))
@@ -102,6 +110,7 @@ def tokenised(tokenizer: str, most: int):
                     crc.append(zlib.crc32(raw[4 * at : 4 * end]))
                     at = end
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.clear()
 
     return run
 
@@ -136,77 +145,113 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray:
     return x
 
 
-def plan(counts: dict[int, int], most: int, bins: int = 64, parts: int = 3) -> list[tuple[int, list[int]]]:
-    """(sequences, lengths in them) that use every piece of the histogram once."""
-    left = {k: v for k, v in counts.items() if v}
+class Left:
+    """How many pieces of each length are still to be placed, with the longest of at most some length."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.n = {k: v for k, v in counts.items() if v}
+        self.lengths = sorted(self.n)
+
+    def longest(self, most: int) -> int | None:
+        i = bisect.bisect_right(self.lengths, most)
+        return self.lengths[i - 1] if i else None
+
+    def take(self, length: int, n: int) -> None:
+        self.n[length] -= n
+        if not self.n[length]:
+            del self.n[length]
+            self.lengths.pop(bisect.bisect_left(self.lengths, length))
+
+
+def plan(counts: dict[int, int], most: int, bins: int = 64, parts: int = 3, short: int | None = None) -> list[tuple[int, list[int]]]:
+    """(sequences, lengths in them) that use every piece of the histogram once.
+
+    Patterns are fitted to the pieces longer than `short` (a quarter of a sequence unless told otherwise); the short ones
+    are held back to fill what patterns leave open. A pattern's parts are the longest pieces of its classes, but for its last
+    part the longest piece that fits.
+    """
+    left = Left(counts)
+    short = most // 4 if short is None else short
     runs: list[tuple[int, list[int]]] = []
-    if most in left:
-        runs.append((left.pop(most), [most]))
-    if not left:
+    if most in left.n:
+        runs.append((left.n[most], [most]))
+        left.take(most, left.n[most])
+    if not left.n:
         return runs
+    smallest = left.lengths[0]
     width = -(-most // bins)
     full = most // width  # classes that fill a sequence even if all their lengths are the class's most
-    by_class: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(left):
-        by_class[-(-n // width)].append(n)
-    found = [p for p in patterns(full, parts) if all(c in by_class for c in p)]
-    open_by_room: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
+    open_by_room: dict[int, list[tuple[int, list[int]]]] = {}
+    rooms: list[int] = []  # keys of it, sorted
 
     def close(n: int, lengths: list[int]) -> None:
         room = most - sum(lengths)
-        if room and room >= smallest:
-            open_by_room[room].append((n, lengths))
-        else:
+        if room < smallest:
             runs.append((n, lengths))
-
-    smallest = min(left)
+            return
+        if room not in open_by_room:
+            open_by_room[room] = []
+            bisect.insort(rooms, room)
+        open_by_room[room].append((n, lengths))
+
+    want = np.zeros(full + 2)
+    for n, k in left.n.items():
+        if n > short:
+            want[-(-n // width)] += k
+    found = [p for p in patterns(full, parts) if all(want[c] for c in p)]
     if found:
         a = np.zeros((full + 2, len(found)))
         for j, p in enumerate(found):
             for c in p:
                 a[c, j] += 1
-        b = np.zeros(full + 2)
-        for c, ns in by_class.items():
-            b[c] = sum(left[n] for n in ns)
-        times = nnls(a, b / max(b.max(), 1)) * max(b.max(), 1)
+        scale = want.max()
+        times = nnls(a, want / scale) * scale
         for j in np.argsort(-times, kind="stable").tolist():
-            p, want = found[j], int(times[j])
-            while want > 0:
-                lengths, need = [], defaultdict(int)
-                for c in p:
-                    n = next((n for n in reversed(by_class[c]) if left[n] > need.get(n, 0)), None)
-                    if n is None:
-                        break
-                    need[n] += 1
-                    lengths.append(n)
-                if len(lengths) < len(p):
-                    break
-                take = min(want, *(left[n] // k for n, k in need.items()))
-                for n, k in need.items():
-                    left[n] -= k * take
+            p, again = found[j], int(times[j])
+            while again > 0 and (lengths := concrete(p, left, most, width, short)):
+                take = min(again, *(left.n[n] // k for n, k in Counter(lengths).items()))
+                for n in lengths:
+                    left.take(n, take)
                 close(take, lengths)
-                want -= take
-    for n in sorted(left, reverse=True):
-        while left[n]:
-            room = min((r for r in open_by_room if r >= n and open_by_room[r]), default=None)
-            if room is None:
-                k = most // n
-                if left[n] >= k:
-                    take, lengths = left[n] // k, [n] * k
-                else:
-                    take, lengths = 1, [n] * left[n]
-                left[n] -= take * len(lengths)
-                close(take, lengths)
-                continue
-            have, lengths = open_by_room[room].pop()
-            take = min(have, left[n])
-            if take < have:
-                open_by_room[room].append((have - take, lengths))
-            left[n] -= take
-            close(take, [*lengths, n])
+                again -= take
+    while left.lengths:
+        n = left.lengths[-1]
+        i = bisect.bisect_left(rooms, n)
+        if i == len(rooms):  # no room: sequences of this length alone, to be filled
+            k = max(1, min(most // n, left.n[n]))
+            take = left.n[n] // k
+            left.take(n, take * k)
+            close(take, [n] * k)
+            continue
+        have, lengths = open_by_room[rooms[i]].pop()
+        take = min(have, left.n[n])
+        if take < have:
+            open_by_room[rooms[i]].append((have - take, lengths))
+        elif not open_by_room[rooms[i]]:
+            del open_by_room[rooms.pop(i)]
+        left.take(n, take)
+        close(take, [*lengths, n])
     return runs + [x for xs in open_by_room.values() for x in xs]
 
 
+def concrete(pattern: tuple[int, ...], left: Left, most: int, width: int, short: int) -> list[int] | None:
+    """Lengths for a pattern: the longest pieces of its classes, and for the last part the longest long one that fits."""
+    lengths: list[int] = []
+    used: Counter = Counter()
+    room = most
+    for i, c in enumerate(pattern):
+        top = room if i == len(pattern) - 1 else min(room, c * width)
+        n = left.longest(top)
+        while n is not None and left.n[n] <= used[n]:
+            n = left.longest(n - 1)
+        if n is None or n <= short or (i < len(pattern) - 1 and n <= (c - 1) * width):
+            return None
+        lengths.append(n)
+        used[n] += 1
+        room -= n
+    return lengths
+
+
 def places(runs: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: first ranks of its intervals, first sequence of each, offset of each."""
     out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)

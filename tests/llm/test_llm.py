@@ -212,6 +212,33 @@ def test_plan_is_tight():
     assert sum(n for n, _ in runs) <= 1.01 * least + 1
 
 
+def best_fit_decreasing(counts, most):
+    rooms, n = Counter(), 0
+    for x in sorted(Counter(counts).elements(), reverse=True):
+        room = min((r for r, k in rooms.items() if k and r >= x), default=None)
+        if room is None:
+            n, room = n + 1, most
+        else:
+            rooms[room] -= 1
+        rooms[room - x] += 1
+    return n
+
+
+@pytest.mark.parametrize("kind", ["long tail", "even", "large"])
+def test_plan_needs_no_more_than_best_fit(kind):
+    r = random.Random(2)
+    draw = {"long tail": lambda: min(512, int(r.lognormvariate(4.6, 1)) + 1), "even": lambda: r.randrange(1, 513), "large": lambda: r.randrange(150, 275)}[kind]
+    counts = Counter(draw() for _ in range(4000))
+    assert sum(n for n, _ in packing.plan(dict(counts), 512)) <= 1.001 * best_fit_decreasing(counts, 512) + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab1!é \t\n\r\x0b\x1c\x85\xa0\u2003\u3000", max_size=24))
+def test_ids_of_any_white_space(text):
+    ids = packing.IDS.setdefault("byte_bpe_50k.json", packing.Ids("byte_bpe_50k.json"))
+    assert np.frombuffer(ids.whole(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
