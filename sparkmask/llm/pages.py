@@ -1,20 +1,25 @@
 """Main text of web pages by site style trees.
 
-Each page is read into elements with their style, the path of tags and classes from the root. The pages of
-a host are merged: for every style and page, the tree notes how the element is presented (its children's
-styles) and what it contains (its text). The importance of a style is the larger of the two
-distributions' entropies, as a share of the entropy if every page differed: 0 where all pages are alike,
-as for a notice that each page shows, 1 where no two are. Branches (of block elements) whose style occurs on `n_pages`
-pages of the host at least and has an importance below `least` are removed from each page.
-
-Presentation also has a prior, since entropy can't see boilerplate that changes from page to page (menus,
-adverts): elements whose tag or class names such a part have importance 0, and if a page marks its
-article or main part, what lies outside has importance 0 too.
+Each page is read into elements with their style, the chain of tags and classes from the root. The pages of a host are
+merged: for every style of a block element the tree notes, page by page, how it is presented (its children's styles in order, and
+how often it occurs) and what it contains (its text, and its share of the page's words outside of links). For each
+style this gives three entropies, each as a share of the entropy if every page differed: P of the child sequences, O of the
+occurrences, H of the texts; and T, the mean share of words. A branch is removed from all pages of the host if its style
+occurs on `n_pages` pages at least and either
+- H is below `least_text`: nearly all pages say the same there, as in a notice; or
+- it is a slot of the template: it occurs on nine tenths of the host's pages, and H * max(P, O, T) is below `least`, so it is built
+  alike everywhere and holds little of the text, whatever it says: menus (which hold links only), adverts, footers, comment boxes.
+  Headings and what lies within a marked article aren't taken for slots.
+
+The tree gets the whole page. Beside it stands a prior for what one site can't show, such as sites of few pages: elements whose
+tag or class names a part that isn't the article go, and if a page marks its article or main part, what lies outside goes too.
+`n_removed` says how many branches of a page the tree removed, whether or not the prior names them.
 
 Pages of a host that keep the same content count once, so copies of an article don't make its style look like a notice.
 
 The tree of a host is never held anywhere: (host, style, kind, value) is counted by partial aggregation, and
-only low styles, of which a site has few, go back to the pages, by a join on the host.
+only low styles, of which a site has few, go back to the pages, by a join on the host. Reading takes time and memory in
+proportion to the page, however deep its elements are nested.
 
 Defined cases: null html is empty and gives the empty text; a null or bad url has the host ''; a page
 alone on its host loses only what the prior names; repeated rows are each returned and count once; unclosed tags
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, table
+from .common import BROADCAST_ROWS, Scratch, table
 
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:\s|^)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -68,23 +74,35 @@ def named(attributes: str) -> tuple[str, bool]:
     return cls, aside
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TOP = 2**64 - 1
+
+
 class Element:
-    __slots__ = ("tag", "style", "aside", "main", "kids", "parent", "text")
+    __slots__ = ("tag", "style", "aside", "main", "link", "parent", "kids", "words", "text")
+
+    def __init__(self, tag: str, style: int, aside: bool, main: bool, link: bool, parent: Element | None):
+        self.tag, self.style, self.aside, self.main, self.link, self.parent = tag, style, aside, main, link, parent
+        #: A hash of the children's labels in order; words outside of links and a hash of the text, of the whole branch after `gather`.
+        self.kids = self.words = self.text = 0
+
+
+def chained(h: int, label: str) -> int:
+    return xxhash.xxh3_64_intdigest(label, h)
 
-    def __init__(self, tag: str, style: str, aside: bool, main: bool, parent: Element | None):
-        self.tag, self.style, self.aside, self.main, self.parent = tag, style, aside, main, parent
-        self.kids: list[str] = []
-        self.text: list[str] = []
 
+def read(page: str, prior: bool = True) -> tuple[list[tuple[Element, str | None]], list[Element], bool]:
+    """(element, text) runs in page order, with None for the text at a block's edge; elements, parents first; whether an article is marked.
 
-def read(page: str) -> tuple[list[tuple[Element, str]], list[Element], bool]:
-    """(element, text) runs in page order, with None for the text at a block's edge; elements; whether an article is marked."""
-    root = Element("", "", False, False, None)
+    Without the prior, no element counts as aside by its tag or class names.
+    """
+    root = Element("", 0, False, False, False, None)
     runs: list[tuple[Element, str | None]] = []
     elements = [root]
     at, here, marked = 0, root, False
     n = len(page)
     last: dict[str, int] = {}
+    opened: Counter = Counter()
 
     def closes(tag: str) -> bool:
         """Whether a closing tag follows: an element without one would take what follows it with it, so it is empty."""
@@ -92,6 +110,14 @@ def read(page: str) -> tuple[list[tuple[Element, str]], list[Element], bool]:
             last[tag] = max((x.start() for x in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
         return last[tag] >= at
 
+    def leave(e: Element) -> Element:
+        """The parent of e, which ends with all that is open in it."""
+        x = here
+        while x is not e.parent:
+            opened[x.tag] -= 1
+            x = x.parent
+        return x
+
     while at < n:
         m = MARK.search(page, at)
         end = m.start() if m else n
@@ -104,135 +130,165 @@ def read(page: str) -> tuple[list[tuple[Element, str]], list[Element], bool]:
             continue
         tag = m[2].lower()
         if m[1]:
-            e = here
-            while e is not None and e.tag != tag:
-                e = e.parent
-            if e is not None and e.parent is not None:
-                here = e.parent
+            if opened[tag]:
+                e = here
+                while e.tag != tag:
+                    e = e.parent
+                here = leave(e)
                 if tag in BLOCK:
                     runs.append((here, None))
             continue
         if tag in VOID:
             runs.append((here, None if tag == "hr" else " "))
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened["p"]:
             e = here
             while e.tag and e.tag != "p" and e.tag not in ("div", "td", "th", "li", "article", "section", "body", *HOLDS):
                 e = e.parent
             if e.tag == "p":
-                here = e.parent
-        for group in (ENDS.get(tag, ()),):
+                here = leave(e)
+        group = ENDS.get(tag, ())
+        if any(opened[x] for x in group):
             e = here
             while e.tag and e.tag not in group and e.tag not in ("ul", "ol", "dl", "table"):
                 e = e.parent
-            if e.tag in group and group:
-                here = e.parent
+            if e.tag in group:
+                here = leave(e)
         cls, aside = named(m[3])
         main = here.main or tag in ("article", "main")
         marked |= tag in ("article", "main")
-        aside = here.aside or tag in ASIDE or (tag == "header" and not here.main) or (aside and tag not in ("body", "html", "article", "main"))
+        aside = prior and (here.aside or tag in ASIDE or (tag == "header" and not here.main) or (aside and tag not in ("body", "html", "article", "main")))
         label = f"{tag}.{cls}" if cls else tag
-        here.kids.append(label)
-        new = Element(tag, f"{here.style}/{label}", aside, main, here)
+        here.kids = chained(here.kids, label)
+        new = Element(tag, chained(here.style, label), aside, main, here.link or tag == "a", here)
         elements.append(new)
         closed = tag not in BLOCK and bool(CLOSED.search(m[3]))
-        if closed or (aside and tag in ASIDE and tag not in BLOCK | RAW and not closes(tag)):
+        if closed or (tag in ASIDE and tag not in BLOCK | RAW and not closes(tag)):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
         here = new
+        opened[tag] += 1
         if tag in BLOCK:
             runs.append((here, None))
     return runs, elements, marked
 
 
-def contents(page: str | None):
-    """Runs of the page that the prior keeps, and the elements that have them."""
-    runs, elements, marked = read(page or "")
-    ok = lambda e: not e.aside and (e.main or not marked)
-    return [(e, htmllib.unescape(t) if t and "&" in t else t) for e, t in runs if t is None or ok(e)], [e for e in elements if ok(e)]
+def plain(text: str | None) -> str | None:
+    return htmllib.unescape(text) if text and "&" in text else text
 
 
-def text_of(runs, low: frozenset[int] = frozenset()) -> str:
+def gather(runs: list[tuple[Element, str | None]], elements: list[Element]) -> None:
+    """Sums words and hashes of texts into every branch: what a run adds doesn't depend on its place, so sums go up once."""
+    for e, t in runs:
+        if t is not None and (words := plain(t).split()):
+            e.words += 0 if e.link else len(words)
+            e.text = (e.text + xxhash.xxh3_64_intdigest(" ".join(words))) & TOP
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.words += e.words
+            e.parent.text = (e.parent.text + e.text) & TOP
+
+
+def text_of(runs, elements: list[Element], marked: bool, low: frozenset[int] = frozenset()) -> tuple[str, int]:
+    """The page's text without the branches of low styles and what the prior names; how many such branches there are."""
+    gone: dict[int, bool] = {}
+    branches = 0
+    if low:
+        for e in elements:
+            above = e.parent is not None and gone[id(e.parent)]
+            gone[id(e)] = above or (e.tag in BLOCK and signed(e.style) in low)
+            branches += gone[id(e)] and not above
     blocks: list[str] = []
     part: list[str] = []
-
-    def gone(e: Element) -> bool:
-        while e is not None:
-            if digest(e.style) in low:
-                return True
-            e = e.parent
-        return False
-
     for e, t in runs:
         if t is None:
             if part and (block := " ".join("".join(part).split())):
                 blocks.append(block)
             part = []
-        elif not (low and gone(e)):
-            part.append(t)
+        elif not e.aside and (e.main or not marked) and not (low and gone[id(e)]):
+            part.append(plain(t))
     if part and (block := " ".join("".join(part).split())):
         blocks.append(block)
-    return "\n".join(blocks)
+    return "\n".join(blocks), branches
+
 
+def extract(page: str | None, low: frozenset[int] = frozenset(), prior: bool = True) -> tuple[str, int]:
+    runs, elements, marked = read(page or "", prior)
+    return text_of(runs, elements, marked and prior, low)
 
-def digest(x: str) -> int:
-    h = xxhash.xxh3_64_intdigest(x)
+
+def signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
+def styles_of(page: str | None) -> dict[int, tuple[int, int, int, float]]:
+    """Of each block style of a page: a hash of its child sequences, its occurrences, a hash of its texts, its share of the words outside of links."""
+    runs, elements, _ = read(page or "", prior=False)
+    gather(runs, elements)
+    total = max(1, elements[0].words)
+    found: dict[int, list] = {}
+    for e in elements:
+        if e.tag in BLOCK or e.parent is None:  # a word in bold that every page has is part of its sentence
+            x = found.setdefault(e.style, [0, 0, 0, 0.0])
+            x[0] = chained(x[0], str(e.kids))
+            x[1] += 1
+            x[2] = (x[2] + e.text) & TOP
+            x[3] += 1.0 if e.main or e.tag in HEADINGS or e.parent is None else e.words / total
+    return {style: (a, n, text, min(1.0, share)) for style, (a, n, text, share) in found.items()}
+
+
 def presented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> (host, content, styles, shown, filled): how a page presents and fills its elements, and a hash of all that it keeps."""
+    """(host, html) -> (host, content, styles, shown, times, filled, share): a page's styles, and a hash of all that it keeps."""
+    kinds = [pa.int64()] * 4 + [pa.float64()]
     for batch in batches:
-        rows: list[list] = [[], [], [], []]
+        content: list[int] = []
+        rows: list[list] = [[], [], [], [], []]
         for page in batch.column("html").to_pylist():
-            runs, elements = contents(page)
-            shown: dict[str, list[str]] = {}
-            filled: dict[str, list[str]] = {}
-            for e in elements:
-                if e.tag in BLOCK:  # a word in bold that every page has is part of its sentence
-                    shown.setdefault(e.style, []).append(" ".join(dict.fromkeys(e.kids)))
-                    filled.setdefault(e.style, [])
-            for e, t in runs:
-                if t is not None:
-                    while e.parent is not None:
-                        if e.style in filled:
-                            filled[e.style].append(t)
-                        e = e.parent
-            values = [digest(s) for s in shown], [digest("|".join(v)) for v in shown.values()], [digest(" ".join("".join(v).split())) for v in filled.values()]
-            content = digest(repr((values, " ".join("".join(t or " " for _, t in runs).split()))))
-            for column, value in zip(rows, (content, *values), strict=True):
+            found = styles_of(page)
+            content.append(signed(xxhash.xxh3_64_intdigest(repr(sorted(found.items())))))
+            values = [signed(x) for x in found], [signed(x[0]) for x in found.values()], [x[1] for x in found.values()], [signed(x[2]) for x in found.values()], [x[3] for x in found.values()]
+            for column, value in zip(rows, values, strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows[0], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in rows[1:])], ["host", "content", "styles", "shown", "filled"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(content, pa.int64()), *(pa.array(x, pa.list_(kind)) for x, kind in zip(rows, kinds, strict=True))], ["host", "content", "styles", "shown", "times", "filled", "share"])
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [text_of(contents(page)[0], frozenset(low or ())) for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-
-def low_styles(pages: DataFrame, least: float, n_pages: int) -> DataFrame:
-    """(host, low): the hashes of the styles of low importance of each host that has any; equal pages of a host count once."""
-    rows = pages.select("host", "html").mapInArrow(presented, "host string, content long, styles array<long>, shown array<long>, filled array<long>")
-    once = rows.groupBy("host", "content").agg(F.first(F.struct("styles", "shown", "filled")).alias("p"))  # what is equal in content is equal in these
-    style = once.select("host", F.explode(F.arrays_zip("p.styles", "p.shown", "p.filled")).alias("p")).select("host", F.col("p.styles").alias("style"), F.explode(F.create_map(F.lit(0), "p.shown", F.lit(1), "p.filled")).alias("kind", "value"))
-    value = style.groupBy("host", "style", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    kind = value.groupBy("host", "style", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"))
-    kind = kind.where(F.col("m") >= n_pages).withColumn("importance", (F.log("m") - F.col("x") / F.col("m")) / F.log("m"))
-    return kind.groupBy("host", "style").agg(F.max("importance").alias("i")).where(F.col("i") < least).groupBy("host").agg(F.collect_set("style").alias("low"))
-
-
-def main_text(pages: DataFrame, least: float = 0.1, n_pages: int = 8) -> DataFrame:
-    """page_id, url, text and n_chars of each row of pages (page_id, url, html, ...)."""
+        out = [extract(page, frozenset(low or ())) for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
+        text, n = [x for x, _ in out], [x for _, x in out]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64()), pa.array(n, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
+
+
+def low_styles(pages: DataFrame, least: float, least_text: float, n_pages: int) -> DataFrame:
+    """(host, style): the hashes of the styles of low importance; equal pages of a host count once."""
+    rows = pages.select("host", "html").mapInArrow(presented, "host string, content long, styles array<long>, shown array<long>, times array<long>, filled array<long>, share array<double>")
+    once = rows.groupBy("host", "content").agg(F.first(F.struct("styles", "shown", "times", "filled", "share")).alias("p"))  # what is equal in content is equal in these
+    style = once.select("host", F.explode(F.arrays_zip("p.styles", "p.shown", "p.times", "p.filled", "p.share")).alias("p")).select("host", "p.*")
+    style = style.select("host", F.col("styles").alias("style"), "share", F.explode(F.create_map(F.lit(0), "shown", F.lit(1), "times", F.lit(2), "filled")).alias("kind", "value"))
+    value = style.groupBy("host", "style", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("share"))
+    each = value.groupBy("host", "style", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("x"), F.sum("share").alias("share"))
+    each = each.withColumn("e", F.when(F.col("m") > 1, (F.log("m") - F.col("x") / F.col("m")) / F.log("m")).otherwise(1.0))
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    node = each.groupBy("host", "style").agg(of(0, "m").alias("m"), of(0, "e").alias("p"), of(1, "e").alias("o"), of(2, "e").alias("h"), (of(0, "share") / of(0, "m")).alias("t"))
+    size = node.where("style = 0").select(F.col("host").alias("_host"), F.col("m").alias("_all"))  # every page has a root
+    node = node.where((F.col("m") >= n_pages) & (F.col("style") != 0)).join(size, F.col("host") == F.col("_host"))
+    slot = (F.col("m") >= 0.9 * F.col("_all")) & (F.col("h") * F.greatest("p", "o", "t") < least)
+    return node.where((F.col("h") < least_text) | slot).select("host", "style")
+
+
+def main_text(pages: DataFrame, least: float = 0.2, least_text: float = 0.1, n_pages: int = 8) -> DataFrame:
+    """page_id, url, text, n_chars and n_removed of each row of pages (page_id, url, html, ...)."""
     scratch = Scratch(pages.sparkSession, "pages")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host"))
-    low = scratch.write(low_styles(rows, least, n_pages), "low").withColumnRenamed("host", "_host")
-    out = rows.join(bounded(low, 50_000), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "low")
+    found = scratch.write(low_styles(rows, least, least_text, n_pages), "low")
+    low = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("style").alias("low"))
+    low = F.broadcast(low) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else low
+    out = rows.join(low, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "low")
     kinds = dict(rows.dtypes)
-    return out.mapInArrow(extracted, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return out.mapInArrow(extracted, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_removed long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,7 +420,7 @@ def test_pages(spark):
 
 
 def test_inline_parts_dont_cut_the_text():
-    read = lambda x: pages.text_of(pages.contents(page(f"<article>{x}</article>"))[0])
+    read = lambda x: pages.extract(page(f"<article>{x}</article>"))[0]
     for part in ('<svg width="5"/>', "<svg/>", "<button>", "<select>", '<iframe src="x">', "<svg><title>t</title><path d='x'/></svg>", "<button>b</button>", "<select><option>o</select>", '<script src="x"/>', "<noscript><p>n</p></noscript>"):
         assert read(f"<p>one {part}</p><p>two</p>") == "one\ntwo", part
     assert read("<p>let <math><mi>x</mi></math> and <math/> be <object>drawn</object></p><figure><figcaption>seen</figcaption></figure>") == "let x and be drawn\nseen"
@@ -438,6 +438,52 @@ def test_copies_of_an_article(spark):
     assert all(got[5000 + i] == "the same" for i in range(20))
 
 
+def neutral(i):
+    """A page without any telling tag or class name: a menu, an advert that differs from page to page, an article, comments, a footer."""
+    body = "".join(f"<p>{prose(25, 100 * i + j)}</p>" for j in range(3 + i % 5))
+    return page(f'<div class="ka"><ul><li><a href="/">{prose(1, i)}</a></li><li><a href="/b">{prose(1, i + 1)}</a></li></ul></div><div class="kb">{prose(8, i + 900)}</div><div class="kc"><h1>{prose(4, i + 50)}</h1>{body}</div><div class="kd"><p>{prose(6, i + 700)}</p></div><div class="ke">by host {prose(5, i + 300)}</div>')
+
+
+def test_the_tree_alone_finds_slots(spark, monkeypatch):
+    """Neither tags nor class names say what is what, and the prior is off."""
+    rows = [(i, f"https://n.org/{i}", neutral(i)) for i in range(40)]
+    monkeypatch.setattr(pages, "PARTS", re.compile("(?!)"))
+    got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i].text == "\n".join([prose(4, i + 50), *[prose(25, 100 * i + j) for j in range(3 + i % 5)]]) and got[i].n_removed == 5  # the head is one, too
+
+
+def test_importance_matches_brute_force(spark):
+    texts = [neutral(i) for i in range(12)] + [neutral(3)] * 5 + [page(f"<div class='ki'><p>{prose(30, i)}</p></div>") for i in range(3)]
+    rows = spark.createDataFrame([("h", x) for x in texts], "host string, html string")
+    got = {(r.host, r.style) for r in pages.low_styles(rows, 0.2, 0.1, 8).collect()}
+    seen = {repr(sorted(pages.styles_of(x).items())): pages.styles_of(x) for x in texts}.values()
+    want = set()
+    for style in {k for x in seen for k in x} - {0}:
+        of = [x[style] for x in seen if style in x]
+        entropy = lambda values: -sum(n / len(values) * np.log(n / len(values)) for n in Counter(values).values()) / np.log(len(values))
+        if len(of) >= 8:
+            p, o, h = (entropy([x[k] for x in of]) for k in range(3))
+            if h < 0.1 or (len(of) >= 0.9 * len(seen) and h * max(p, o, np.mean([x[3] for x in of])) < 0.2):
+                want.add(("h", pages.signed(style)))
+    assert got == want
+    assert got
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.thread_time()
+        html = '<div class="a">' * n + "x" + "</i>" * n + "<p>y" * n
+        assert pages.extract(html)[0] == "\n".join(["x", *["y"] * n])
+        pages.styles_of(html)
+        return time.thread_time() - began
+
+    took(1000)
+    assert took(100_000) < 30 * took(10_000)
+
+
 # --- language model
 
 
