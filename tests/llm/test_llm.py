@@ -498,11 +498,11 @@ def test_exchange_raises_likelihood():
 def test_class_scores(spark, odd, none):
     docs = spark.createDataFrame([(i, prose(20 + i, i)) for i in range(50)], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0
-    kinds = {"top": 30, "endings": 20, "classes": 6}
+    kinds = {"top": 30, "classes": 6}
     a = language_model.class_scores(docs, train, **kinds).collect()
     b = language_model.class_scores(docs, train, **kinds, head=3).collect()
-    order = lambda rows: sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows))
-    assert order(a) == order(b) and len(a) == 62
+    order = lambda rows: sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows))
+    assert order(a) == order(b) and len(a) == 62 and all(np.isfinite(r.score) for r in a + b)
     rows = [(r.doc_id, re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()) + [None]) for r in docs.collect()]
     counts = Counter(w for i, ws in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 10 for w in ws)
     n, v = sum(counts.values()), len(counts)
@@ -513,18 +513,55 @@ def test_class_scores(spark, odd, none):
     assert all(r.base_score == pytest.approx(0) and r.train_tokens == 0 for r in empty)
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, prose(30, i)) for i in range(30)], "doc_id long, text string")
-    model, counts = language_model.fit(docs, F.lit(True), Scratch(spark, "t"), 25, 10, 5)
+@pytest.mark.parametrize("head", [400_000, 150])
+def test_class_model_by_brute_force(spark, head):
+    """Words take the class of the greatest likelihood, probabilities sum to one, and scores are sums of their logarithms."""
+    texts = [prose(30, i) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts, most = language_model.fit(docs, F.col("doc_id") < 25, Scratch(spark, "t"), 25, 5, head)
+    assert len(model.step) == 6 and (10**model.step).sum(axis=1) == pytest.approx(1)
     c = {r["word"]: r["n"] for r in counts.collect()}
-    word = {r["word"]: r["ending"] for r in counts.collect()}
     h = np.array(list(c), np.int64).view(np.uint64)
-    cls = model.cls[model.units.of(h, np.array([word[w] for w in c]))]
+    cls = most.of(h)[1]
     emission = (np.array(list(c.values())) + 0.1) / 10 ** model.below[cls]
-    for k in range(len(model.below)):
-        unseen = 0.1 / 10 ** model.below[k]
-        assert emission[cls == k].sum() + unseen == pytest.approx(1)
-    assert (10**model.step).sum(axis=1) == pytest.approx(1)
+    for k in range(6):
+        assert emission[cls == k].sum() + (0.1 / 10 ** model.below[k] if k == model.rest else 0) == pytest.approx(1)
+    sentences = [[*Words(pa.array([t])).hashed(LOWER).tolist(), int(language_model.END)] for t in texts]
+    first = set(sorted((x for x in c if x != int(language_model.END.astype(np.int64))), key=lambda x: (-c[x], x))[:25])
+    top = {int(np.array([x], np.int64).view(np.uint64)[0]) for x in first}
+    of = dict(zip(h.tolist(), cls.tolist(), strict=True))
+    settled = lambda x: of[x] if x in top or x == int(language_model.END) else None
+    pairs = np.zeros((6, 6))
+    for ws in sentences[:25]:
+        for a, b in zip([int(language_model.END), *ws], ws, strict=False):
+            if settled(a) is not None and settled(b) is not None:
+                pairs[settled(a), settled(b)] += 1
+    step, size = np.log(10) * language_model.log_steps(pairs, pairs.sum(axis=0)), np.maximum(pairs.sum(axis=0), 1)
+    inside = set(most.words.tolist())
+    gain = {}
+    for ws in sentences[:25]:
+        line = [int(language_model.END), *ws, int(language_model.END)]
+        for a, w, b in zip(line, line[1:], line[2:], strict=False):
+            if w not in top and w in inside and w != int(language_model.END):
+                around = [x for x in (a, b) if settled(x) is not None]
+                if around:
+                    g = gain.setdefault(w, np.zeros(5))
+                    g -= np.log(size[:5])
+                    g += step[settled(a), :5] if settled(a) is not None else 0
+                    g += step[:5, settled(b)] if settled(b) is not None else 0
+    assert gain and all(g[of[w]] >= g.max() - 1e-3 for w, g in gain.items())
+    assert all(of[w] == model.rest for w in of if w not in inside and w != int(language_model.END))
+    want = []
+    for ws in sentences:
+        before, total = 5, 0.0
+        for w in ws:
+            k = of.get(w, model.rest)
+            n = c.get(int(np.array([w], np.uint64).view(np.int64)[0]), 0)
+            total += model.step[before, k] + np.log10(n + 0.1) - model.below[k]
+            before = k
+        want.append(total)
+    got = {r.doc_id: r.score for r in language_model.class_scores(docs, F.col("doc_id") < 25, 25, 5, head).collect()}
+    assert [got[i] for i in range(30)] == pytest.approx(want)
 
 
 # --- subwords
