@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -42,6 +43,8 @@ def importable(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, made for short rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
 
@@ -96,6 +99,15 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers live on, and the next stage's would stand beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def portions(batch: pa.RecordBatch, column: str = "text", size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of `size` bytes of a string column together, or of one row: what one pass holds in memory."""
     at = np.concatenate([[0], np.cumsum(byte_lengths(batch.column(column)))])

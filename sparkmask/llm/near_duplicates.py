@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, MULTIPLIERS, Scratch, Words, bounded, in_few, lower_words, mix, portions, shingle_set, table
+from .common import LOWER, MULTIPLIERS, Scratch, Words, bounded, give_back, in_few, lower_words, mix, portions, shingle_set, table
 from .components import components
 
 TOKENS = 128
@@ -74,6 +74,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(None if least is None else least.tobytes())
             marks.append(None if least is None else (least * GOLDEN_HALF >> np.uint32(24)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "tokens", "marks"])
+    give_back()
 
 
 def signed_sum(x: np.ndarray) -> np.int64:
@@ -151,6 +152,7 @@ def candidates(least: float):
                 yield pa.RecordBatch.from_arrays([pa.array(sub, pa.int64()), pa.array(doc, pa.int64())], ["sub", "doc"])
                 sub, doc = [], []
         yield pa.RecordBatch.from_arrays([pa.array(sub, pa.int64()), pa.array(doc, pa.int64())], ["sub", "doc"])
+        give_back()
 
     return run
 
@@ -159,6 +161,7 @@ def set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (p for b in batches for p in portions(b)):
         sets = [shingle_set(words).tobytes() for words in Words(batch.column("text")).each(LOWER)]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("comp"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc", "comp", "set"])
+    give_back()
 
 
 def links_of(doc: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -199,6 +202,7 @@ def confirm(percent: int):
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     return run
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, tokenizer_file
+from .common import Scratch, give_back, table, tokenizer_file
 
 END = np.zeros(1, "<u4").tobytes()
 
@@ -111,6 +111,7 @@ def tokenised(tokenizer: str, most: int):
                     at = end
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
         ids.clear()
+        give_back()
 
     return run
 

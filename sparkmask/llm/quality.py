@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BLANK, GOLDEN, LOWER, Scratch, Words, bounded, mix, portions, signed, table, window_hashes
+from .common import BLANK, GOLDEN, LOWER, Scratch, Words, bounded, give_back, mix, portions, signed, table, window_hashes
 
 WINDOW = 8
 SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -153,6 +153,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [ids, hosts, *base, pa.array(list(map(to_signed, m.copy)), pa.int64()), pa.array(key, pa.int64()), *lines],
             ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "copy", "key", "lines", "words", "place", "least"],
         )
+    give_back()
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:

@@ -4,7 +4,7 @@ The lexicon is learnt: terms that labelled toxic documents use significantly mor
 ones, by the log odds of document frequencies. A word of a text hits a term if it equals it, or if it lies
 within one edit (two for terms of ten letters and more). Every term of five letters or more has misspellings.
 They are found by walking the trie of all terms with the states of the Levenshtein automata of all words of many
-texts at once. Words within reach of a term that labelled clean documents use are known to be innocent and don't hit.
+texts at once, forward and backward. Words within reach of a term that labelled clean documents use are known to be innocent and don't hit.
 
 Each hit's context decides how it counts: hits between quotation marks, or with a word of report close by in
 front, are quoted, others are used. A logistic model on the logarithms of the summed weights of used, quoted
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_of_id, table
+from .common import Scratch, crc_of_id, give_back, table
 
 TOKEN = re.compile(r"[\w@$]+")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
@@ -53,16 +53,20 @@ class Trie:
     first d - k .. d + k letters. The states of all words that are still within reach of a node's prefix are one
     array, and a step to a child moves them together. Words leave a branch when no distance in their band is within
     reach, or when their length can't match a term below.
+
+    Of k edits, a term's first half has k // 2 at most, or its second half has none. So two walks find all: one over the terms
+    with k // 2 edits up to their middle, and one `backward`, over reversed terms and words, with none up to it.
     """
 
-    def __init__(self, terms: list[str], reach: int):
-        self.reach = reach
+    def __init__(self, terms: list[str], reach: int, backward: bool = False):
+        self.reach, self.backward = reach, backward
+        self.early = 0 if backward else reach // 2
         self.root: dict = {}
         self.longest = max(map(len, terms), default=0)
         self.shortest = min(map(len, terms), default=0)
         for term in sorted(terms):
             node = self.root
-            for c in term:
+            for c in term[::-1] if backward else term:
                 node = node.setdefault(c, {})
             node[""] = term
         self.spans: dict[int, tuple[int, int]] = {}
@@ -77,14 +81,14 @@ class Trie:
         return found
 
     def near(self, words: list[str]) -> Iterator[tuple[str, str]]:
-        """(word, term) of all pairs within reach."""
+        """(word, term) of all pairs within reach that this walk finds."""
         k = self.reach
         words = [w for w in words if self.shortest - k <= len(w) <= self.longest + k]
         if not words or not self.root:
             return
         lens = np.array([len(w) for w in words])
         letters = np.full((len(words), self.longest + 3 * k + 1), -1, np.int32)  # column k + i: letter i
-        letters[:, k : k + self.longest + k] = np.array(words, f"<U{self.longest + k}").view(np.int32).reshape(len(words), -1)
+        letters[:, k : k + self.longest + k] = np.array([w[::-1] for w in words] if self.backward else words, f"<U{self.longest + k}").view(np.int32).reshape(len(words), -1)
         letters[letters == 0] = -1
         far = k + 2
         start = np.full((len(words), 2 * k + 1), far, np.int8)
@@ -101,14 +105,20 @@ class Trie:
                 if not c:
                     continue
                 lo, hi = self.spans[id(child)]
+                middle = -(-lo // 2) if self.backward else lo // 2
+                most = self.early if d < middle else k
                 fits = (lens[alive] >= lo - k) & (lens[alive] <= hi + k)
+                if most == 0:  # no edit so far
+                    fits &= letters[alive, k + d] == ord(c)
                 rows, old = alive[fits], state[fits]
+                if not len(rows):
+                    continue
                 new = old + (letters[rows, d : d + 2 * k + 1] != ord(c))
                 new[:, :-1] = np.minimum(new[:, :-1], old[:, 1:] + 1)
                 for t in range(1, 2 * k + 1):
                     new[:, t] = np.minimum(new[:, t], new[:, t - 1] + 1)
                 np.minimum(new, far, out=new)
-                within = new.min(axis=1) <= k if len(new) else np.empty(0, bool)
+                within = new.min(axis=1) <= most
                 if within.any():
                     stack.append((child, d + 1, rows[within], new[within].astype(np.int8)))
 
@@ -119,7 +129,7 @@ class Lexicon:
     def __init__(self, weights: dict[str, float], innocent: frozenset[str] = frozenset(), shortest: int = 5):
         self.weights, self.innocent, self.shortest = weights, innocent, shortest
         plain = [t for t in weights if len(t) >= shortest and t[-1] != "*"]
-        self.tries = [Trie([t for t in plain if self.reach(len(t)) == k], k) for k in (1, 2)]
+        self.tries = [Trie([t for t in plain if self.reach(len(t)) == k], k, backward) for k in (1, 2) for backward in (False, True)]
         self.known: dict[str, tuple[float, bool]] = {}
 
     def __reduce__(self):
@@ -165,36 +175,31 @@ class Lexicon:
             self.learn({word})
         return self.known[word]
 
-    def all_features(self, texts: list[str | None], letters: int = 4_000_000) -> list[list[float]]:
+    def all_features(self, texts: list[str | None], letters: int = 8_000_000) -> list[list[float]]:
         """The features of texts, whose words are looked up for about so many letters of text at a time."""
         out: list[list[float]] = []
         lo = 0
         while lo < len(texts):
-            hi, size = lo, 0
-            words: set[str] = set()
-            while hi < len(texts) and (hi == lo or size < letters):
-                size += len(texts[hi] or "")
-                words.update(TOKEN.findall((texts[hi] or "").lower()))
-                hi += 1
-            self.learn(words)
-            out += [self.features(t) for t in texts[lo:hi]]
-            lo = hi
+            part, size = [], 0
+            while lo < len(texts) and (not part or size < letters):
+                low = (texts[lo] or "").lower()
+                part.append((low, words := TOKEN.findall(low), set(words)))
+                size += len(low)
+                lo += 1
+            self.learn(set().union(*(x for _, _, x in part)))
+            hitting = {w for w, (weight, _) in self.known.items() if weight}
+            out += [self.features(low, len(words), distinct & hitting) for low, words, distinct in part]
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        low = (text or "").lower()
-        words = TOKEN.findall(low)
-        get = self.hit
-        hits = {w for w in set(words) if get(w)[0]}
+    def features(self, low: str, n_words: int, hits: set[str]) -> list[float]:
+        """The features of a lower-cased text whose distinct words that hit are given."""
         if not hits:
             return [1.0, *[0.0] * (FEATURES - 1)]
         used = quoted = wrong = 0.0
         n = 0
-        for m in TOKEN.finditer(low):
-            if (word := m.group()) not in hits:
-                continue
+        for m in re.finditer(rf"(?<![\w@$])(?:{'|'.join(map(re.escape, sorted(hits)))})(?![\w@$])", low):
             n += 1
-            weight, exact = get(word)
+            weight, exact = self.known[m.group()]
             before, after = low[max(0, m.start() - AROUND) : m.start()], low[m.end() : m.end() + AROUND]
             line = before.rpartition("\n")[2]
             if (len(QUOTES.findall(line)) % 2 and QUOTES.search(after)) or REPORT.search(line[-24:]):
@@ -203,7 +208,7 @@ class Lexicon:
                 used += weight
             else:
                 wrong += weight
-        return [1.0, np.log1p(used), np.log1p(quoted), np.log1p(wrong), np.log1p(sum(get(w)[0] for w in hits)), float(np.log1p(len(hits))), min(1.0, 20 * n / max(1, len(words)))]
+        return [1.0, np.log1p(used), np.log1p(quoted), np.log1p(wrong), np.log1p(sum(self.known[w][0] for w in hits)), float(np.log1p(len(hits))), min(1.0, 20 * n / max(1, n_words))]
 
 
 #: Lexicons of this process: the tasks of a worker share one, and the words that it knows.
@@ -299,6 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(lexicon.all_features(batch.column("text").to_pylist()), pa.list_(pa.float64()))], ["toxic", "x"])
         lexicon.known.clear()
+        give_back()
 
     got = for_model.select("toxic", "text").mapInArrow(featured, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()  # of the bounded sample
     if len({r["toxic"] for r in got}) < 2:
@@ -316,6 +322,7 @@ def with_scores(docs: DataFrame, model: Model, into: str = "score") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column("text").to_pylist()), pa.float64())], [*batch.schema.names, into])
         if model.lexicon is not None:
             model.lexicon.known.clear()
+        give_back()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
