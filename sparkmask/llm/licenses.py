@@ -14,7 +14,7 @@ documents is one row of it.
 
 Defined cases: a null text has no licence; a null path has no directory and inherits nothing; of equal
 cosines the first licence in alphabetical order wins; of several licence files in a directory the most
-similar one speaks; repeated rows are each returned; an empty table gives no rows; extra columns are ignored.
+similar one speaks, of equals the first in alphabetical order; repeated rows are each returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,9 +71,6 @@ def terms(text: str) -> list[str]:
     return [t for t in TERM.findall(text) if t not in FUNCTION_WORDS]
 
 
-VOCABULARY = frozenset(t for _, text in TEMPLATES for t in terms(text.lower()))
-
-
 def frequencies(vocabulary: frozenset[str]):
     """text -> (term, n): in how many of a task's documents each vocabulary term is; '' counts documents."""
 
@@ -175,7 +172,7 @@ def license_scan(files: DataFrame, least: float = 0.7, file_share: float = 0.5,
     df = {r["term"]: r["n"] for r in files.select("text").mapInArrow(frequencies(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the templates' terms
     scanner = Scanner(templates, df, df.pop("", 0), least)
     own = scratch.write(files.select("doc_id", "path", "text").mapInArrow(scanned(scanner), f"doc_id {dict(files.dtypes)['doc_id']}, path string, own string, similarity double, share double").withColumn("dir", directory("path")), "own")
-    spoken = own.where((F.col("share") >= file_share) & F.col("dir").isNotNull()).groupBy("dir").agg(F.max(F.struct(F.round("similarity", 9).alias("s"), F.expr("-ascii(own)"), "own")).alias("m")).select(F.col("dir").alias("license_directory"), F.col("m.own").alias("inherited"))
+    spoken = own.where((F.col("share") >= file_share) & F.col("dir").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "own")).alias("m")).select(F.col("dir").alias("license_directory"), F.col("m.own").alias("inherited"))
     dirs = own.where(F.col("own").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
     steps = dirs.withColumn("parts", F.split("dir", "/")).select("dir", F.explode(F.expr("transform(sequence(0, size(parts)), i -> array_join(slice(parts, 1, i), '/'))")).alias("license_directory"))
     near = steps.join(bounded(spoken, 100_000), "license_directory").groupBy("dir").agg(F.max_by(F.struct("license_directory", "inherited"), F.length("license_directory")).alias("x")).select(F.col("dir").alias("_dir"), "x.*")

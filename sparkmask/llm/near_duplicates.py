@@ -314,16 +314,17 @@ class Join:
         return in_few(found, self.rows, least=12)
 
     def rest(self, dense: DataFrame) -> DataFrame | None:
-        """Groups (sub, doc): each block of a dense node with each block of its documents outside its largest component."""
+        """Groups (sub, doc): each block (of two leaves' size) of a dense node with each block of its documents outside its largest component."""
         rows = dense.select("node", "doc").join(self.reps.select("doc", "comp"), "doc")
         most = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("comp", F.struct("n", F.col("comp"))).alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("r"))
-        most = most.where("r > 0").select("node", "most", F.ceil(F.col("n") / self.leaf).cast("int").alias("b"), F.ceil(F.col("r") / self.leaf).cast("int").alias("rb"))
+        block = 2 * self.leaf
+        most = most.where("r > 0").select("node", "most", F.ceil(F.col("n") / block).cast("int").alias("b"), F.ceil(F.col("r") / block).cast("int").alias("rb"))
         if most.isEmpty():
             return None
         rows = rows.join(bounded(most), "node")
-        block = rows.withColumn("i", F.expr("pmod(xxhash64(doc, 11), b)")).withColumn("j", F.explode(F.expr("sequence(0L, cast(rb - 1 as bigint))")))
+        inner = rows.withColumn("i", F.expr("pmod(xxhash64(doc, 11), b)")).withColumn("j", F.explode(F.expr("sequence(0L, cast(rb - 1 as bigint))")))
         outside = rows.where("comp <> most").withColumn("j", F.expr("pmod(xxhash64(doc, 13), rb)")).withColumn("i", F.explode(F.expr("sequence(0L, cast(b - 1 as bigint))")))
-        return block.unionByName(outside).select(F.xxhash64("node", "i", "j").alias("sub"), "doc").distinct()
+        return inner.unionByName(outside).select(F.xxhash64("node", "i", "j").alias("sub"), "doc").distinct()
 
     def settle(self, links: DataFrame) -> None:
         """Documents of components that links connect are of one component from now on."""

@@ -36,8 +36,9 @@ TOKEN = re.compile(r"[\w@$]+")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
 REPORT = re.compile(r"\b(?:said|says|wrote|quote[ds]?|called|calling|word|term|dit|écrit|sagte|schrieb|dijo|escribió)\b")
 AROUND = 48
-#: Words that a task remembers.
-KNOWN = 200_000
+#: Words that a worker remembers: about 150 bytes each.
+KNOWN = 300_000
+NO_HIT = (0.0, False)
 FEATURES = 7
 
 
@@ -164,7 +165,7 @@ class Lexicon:
             if (w := max((self.weights[x] for x in (word, stem(word)) if x in self.weights), default=0.0)) > 0:
                 self.known[word] = (w, True)
             else:
-                self.known[word] = (0.0, False)
+                self.known[word] = NO_HIT
                 rest.append(word)
         for word, term in self.near(sorted(rest)).items():
             self.known[word] = (self.weights[term] / 2, False)
@@ -303,7 +304,6 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000,
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(lexicon.all_features(batch.column("text").to_pylist()), pa.list_(pa.float64()))], ["toxic", "x"])
-        lexicon.known.clear()
         give_back()
 
     got = for_model.select("toxic", "text").mapInArrow(featured, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()  # of the bounded sample
@@ -320,8 +320,6 @@ def with_scores(docs: DataFrame, model: Model, into: str = "score") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column("text").to_pylist()), pa.float64())], [*batch.schema.names, into])
-        if model.lexicon is not None:
-            model.lexicon.known.clear()
         give_back()
 
     from pyspark.sql.types import DoubleType, StructField, StructType

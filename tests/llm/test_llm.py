@@ -608,6 +608,12 @@ def test_licenses(spark, none):
     assert licenses.license_scan(none.withColumn("path", F.lit("x"))).count() == 0
 
 
+def test_ties_of_licence_files_go_to_the_first_name(spark):
+    rows = [(1, "d/LICENSE-3", "Licensed under the BSD 3-Clause License"), (2, "d/LICENSE-2", "Licensed under the BSD 2-Clause License"), (3, "d/x.py", prose(30, 1))]
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-2-Clause", 3: "BSD-2-Clause"}
+
+
 def test_cosine_by_hand():
     s = licenses.Scanner([("A", "alpha beta beta"), ("B", "gamma")], {"alpha": 1, "beta": 3, "gamma": 0}, 9, 0.5)
     w = {"alpha": 1 + np.log(10 / 2), "beta": 1 + np.log(10 / 4), "zeta": 1 + np.log(10)}
