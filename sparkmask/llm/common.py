@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Entries that a worker keeps in one of its word caches.
 CACHE_ENTRIES = 300_000
+#: Bytes of text that the pipeline's stages hold in memory at a time, with up to 50 bytes of what they make of each.
+PORTION = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,6 +110,18 @@ def give_back() -> None:
         pass  # another C library
 
 
+#: What the operator at work keeps in this worker from task to task.
+KEPT: list[dict] = []
+
+
+def alone(own: dict | None = None) -> None:
+    """Called by an operator's tasks: drops what other operators keep in this worker, which outlives their stages, beside its own."""
+    for other in KEPT:
+        if other is not own:
+            other.clear()
+    KEPT[:] = [] if own is None else [own]
+
+
 def portions(batch: pa.RecordBatch, column: str = "text", size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of `size` bytes of a string column together, or of one row: what one pass holds in memory."""
     at = np.concatenate([[0], np.cumsum(byte_lengths(batch.column(column)))])

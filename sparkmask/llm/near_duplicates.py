@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, MULTIPLIERS, Scratch, Words, bounded, give_back, in_few, lower_words, mix, portions, shingle_set, table
+from .common import LOWER, MULTIPLIERS, PORTION, Scratch, Words, alone, bounded, give_back, in_few, lower_words, mix, portions, shingle_set, table
 from .components import components
 
 TOKENS = 128
@@ -63,7 +63,8 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (p for b in batches for p in portions(b)):
+    alone()
+    for batch in (p for b in batches for p in portions(b, size=PORTION)):
         size, one, two, tokens, marks = [], [], [], [], []
         for words in Words(batch.column("text")).each(LOWER):
             s = shingle_set(words)
@@ -158,7 +159,7 @@ def candidates(least: float):
 
 
 def set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (p for b in batches for p in portions(b)):
+    for batch in (p for b in batches for p in portions(b, size=PORTION)):
         sets = [shingle_set(words).tobytes() for words in Words(batch.column("text")).each(LOWER)]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("comp"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc", "comp", "set"])
     give_back()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, table, tokenizer_file
+from .common import Scratch, alone, give_back, table, tokenizer_file
 
 END = np.zeros(1, "<u4").tobytes()
 
@@ -87,6 +87,7 @@ class Ids(dict):
         return self.of(first) + b"".join(map(self.__getitem__, rest))
 
 
+#: Tokenizers of this process, loaded once for all tasks of a worker.
 IDS: dict[str, Ids] = {}
 
 
@@ -94,6 +95,7 @@ def tokenised(tokenizer: str, most: int):
     """(doc_id, text) -> a row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(IDS)
         ids = IDS[tokenizer] if tokenizer in IDS else IDS.setdefault(tokenizer, Ids(tokenizer))
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BLANK, GOLDEN, LOWER, Scratch, Words, bounded, give_back, mix, portions, signed, table, window_hashes
+from .common import BLANK, GOLDEN, LOWER, PORTION, Scratch, Words, alone, bounded, give_back, mix, portions, signed, table, window_hashes
 
 WINDOW = 8
 SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -143,7 +143,8 @@ def with_key(docs: DataFrame, into: str) -> DataFrame:
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document: its base counts, a key of its content, and its lines as arrays."""
-    for batch in (p for b in batches for p in portions(b)):
+    alone()
+    for batch in (p for b in batches for p in portions(b, size=PORTION)):
         ids, hosts, texts = (batch.column(c) for c in ("doc_id", "source", "text"))
         m = Measured(texts)
         key = [content_key(*r) for r in zip(ids.to_pylist(), hosts.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), strict=True)]

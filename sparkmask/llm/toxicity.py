@@ -30,14 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_of_id, give_back, table
+from .common import Scratch, alone, crc_of_id, give_back, portions, table
 
 TOKEN = re.compile(r"[\w@$]+")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
 REPORT = re.compile(r"\b(?:said|says|wrote|quote[ds]?|called|calling|word|term|dit|écrit|sagte|schrieb|dijo|escribió)\b")
 AROUND = 48
-#: Words that a worker remembers: about 150 bytes each.
-KNOWN = 300_000
+#: Words of each of the two generations that a worker remembers, about 150 bytes each; a portion with more is the younger alone.
+KNOWN = 100_000
+#: Words that one walk of the tries looks up: their states take up to 500 bytes each.
+WALK = 40_000
+#: Letters of text whose words stand in memory together, about 30 bytes for each.
+LETTERS = 2_000_000
 NO_HIT = (0.0, False)
 FEATURES = 7
 
@@ -132,6 +136,7 @@ class Lexicon:
         plain = [t for t in weights if len(t) >= shortest and t[-1] != "*"]
         self.tries = [Trie([t for t in plain if self.reach(len(t)) == k], k, backward) for k in (1, 2) for backward in (False, True)]
         self.known: dict[str, tuple[float, bool]] = {}
+        self.earlier: dict[str, tuple[float, bool]] = {}
 
     def __reduce__(self):
         return lexicon_of, (self.weights, self.innocent, self.shortest)
@@ -144,25 +149,29 @@ class Lexicon:
         """The term that each misspelt word stands for: the heaviest within reach, of equal ones the first by the alphabet."""
         found: dict[str, str] = {}
         weights = self.weights
-        for trie in self.tries:
-            for word, term in trie.near([w for w in words if w not in self.innocent]):
-                best = found.get(word)
-                if best is None or (-weights[term], term) < (-weights[best], best):
-                    found[word] = term
+        words = [w for w in words if w not in self.innocent]
+        for lo in range(0, len(words), WALK):
+            for trie in self.tries:
+                for word, term in trie.near(words[lo : lo + WALK]):
+                    best = found.get(word)
+                    if best is None or (-weights[term], term) < (-weights[best], best):
+                        found[word] = term
         return found
 
     def fuzzy(self, word: str) -> str | None:
         return self.near([word]).get(word)
 
     def learn(self, words: set[str]) -> None:
-        """Looks words up, all in one walk."""
+        """Looks words up, many in one walk. Words of the generation before are known still, and those met again stay known."""
         if len(self.known) + len(words) > KNOWN:
-            self.known.clear()
+            self.known, self.earlier = {}, self.known if len(self.known) <= KNOWN else {}
         rest = []
         for word in words:
             if word in self.known:
                 continue
-            if (w := max((self.weights[x] for x in (word, stem(word)) if x in self.weights), default=0.0)) > 0:
+            if word in self.earlier:
+                self.known[word] = self.earlier[word]
+            elif (w := max((self.weights[x] for x in (word, stem(word)) if x in self.weights), default=0.0)) > 0:
                 self.known[word] = (w, True)
             else:
                 self.known[word] = NO_HIT
@@ -176,7 +185,7 @@ class Lexicon:
             self.learn({word})
         return self.known[word]
 
-    def all_features(self, texts: list[str | None], letters: int = 8_000_000) -> list[list[float]]:
+    def all_features(self, texts: list[str | None], letters: int = LETTERS) -> list[list[float]]:
         """The features of texts, whose words are looked up for about so many letters of text at a time."""
         out: list[list[float]] = []
         lo = 0
@@ -184,12 +193,14 @@ class Lexicon:
             part, size = [], 0
             while lo < len(texts) and (not part or size < letters):
                 low = (texts[lo] or "").lower()
-                part.append((low, words := TOKEN.findall(low), set(words)))
+                words = TOKEN.findall(low)
+                part.append((low, len(words), set(words)))
                 size += len(low)
                 lo += 1
-            self.learn(set().union(*(x for _, _, x in part)))
-            hitting = {w for w, (weight, _) in self.known.items() if weight}
-            out += [self.features(low, len(words), distinct & hitting) for low, words, distinct in part]
+            every = set().union(*(x for _, _, x in part))
+            self.learn(every)
+            hitting = {w for w in every if self.known[w][0]}
+            out += [self.features(low, n_words, distinct & hitting) for low, n_words, distinct in part]
         return out
 
     def features(self, low: str, n_words: int, hits: set[str]) -> list[float]:
@@ -212,15 +223,15 @@ class Lexicon:
         return [1.0, np.log1p(used), np.log1p(quoted), np.log1p(wrong), np.log1p(sum(self.known[w][0] for w in hits)), float(np.log1p(len(hits))), min(1.0, 20 * n / max(1, n_words))]
 
 
-#: Lexicons of this process: the tasks of a worker share one, and the words that it knows.
+#: The lexicon of this process: the tasks of a worker share it, and the words that it knows.
 LEXICONS: dict[tuple, Lexicon] = {}
 
 
 def lexicon_of(weights: dict[str, float], innocent: frozenset[str], shortest: int) -> Lexicon:
+    alone(LEXICONS)
     key = (tuple(weights.items()), innocent, shortest)
     if key not in LEXICONS:
-        if len(LEXICONS) > 1:
-            LEXICONS.clear()
+        LEXICONS.clear()
         LEXICONS[key] = Lexicon(weights, innocent, shortest)
     return LEXICONS[key]
 
@@ -254,7 +265,7 @@ def count_words(pick, lexicon: Lexicon | None = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, size=LETTERS)):
             sets = [set(TOKEN.findall((text or "").lower())) for text in batch.column("text").to_pylist()]
             if lexicon is not None:
                 lexicon.learn(set().union(*sets))
@@ -262,6 +273,7 @@ def count_words(pick, lexicon: Lexicon | None = None):
                 counts[toxic].update(pick(words | {x for w in words if (x := stem(w))}))
         words = list(counts[0] | counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "pos", "neg"])
+        give_back()
 
     return run
 

@@ -3,6 +3,7 @@ import pickle
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -399,6 +400,38 @@ def test_toxicity_learns(spark, labelled, odd, none):
     assert toxicity.fit(docs, labels.where("toxic = 0"), toxicity.training()).score(["x", None]).tolist() == [0.0, 0.0]
 
 
+def test_toxicity_holds_few_words_at_a_time(monkeypatch):
+    """Texts of twelve million letters whose words nearly all differ: what a worker holds doesn't grow with them."""
+    r = random.Random(5)
+    texts = [" ".join(f"{r.getrandbits(48):012x}" for _ in range(300)) for _ in range(3000)]
+    for i in range(0, 3000, 100):
+        texts[i] += " you grumblefog and snarkwit"
+    lexicon = toxicity.Lexicon({"grumblefig": 3.0, "snarkwit": 2.0})
+    tracemalloc.start()
+    found = lexicon.all_features(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6, most
+    assert len(lexicon.earlier) <= toxicity.KNOWN and len(lexicon.known) <= max(toxicity.KNOWN, toxicity.LETTERS // 12)
+    monkeypatch.setattr(toxicity, "KNOWN", 700)
+    monkeypatch.setattr(toxicity, "WALK", 90)
+    few = toxicity.Lexicon(lexicon.weights)
+    assert few.all_features(texts[:201], 5000) == found[:201] and {bool(x[3]) for x in found[::100]} == {True}
+
+
+def test_workers_keep_one_operator():
+    """A worker outlives stages: the next operator's tasks drop what the last one's kept."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["two words"])], ["doc_id", "text"])
+    packed = packing.tokenised("byte_bpe_50k.json", 2048)
+    first = [list(packed(iter([batch]))), len(packing.IDS)]
+    lexicons = [toxicity.lexicon_of({"snarkwit": w}, frozenset(), 5) for w in (1.0, 2.0)]
+    assert first[1] == 1 and not packing.IDS and list(toxicity.LEXICONS.values()) == lexicons[1:]
+    assert toxicity.lexicon_of({"snarkwit": 2.0}, frozenset(), 5) is lexicons[1]
+    assert list(packed(iter([batch]))) == first[0] and not toxicity.LEXICONS
+    list(near_duplicates.sketch(iter([batch])))
+    assert not packing.IDS
+
+
 # --- pages
 
 
