@@ -52,13 +52,17 @@ def luhn(body: Column, width: int) -> Column:
 
 
 def ssn(digest: Column) -> Column:
-    """XXX-XX-XXXX of the first of four slices that the rules allow; null if none is (about 1 in 7,000)."""
+    """XXX-XX-XXXX of the first of four slices that the rules allow; null if none is (about 1 in 6,600)."""
     out = None
     for at in (24, 16, 8, 0):
         d = digits(slice_number(digest, at, 8) % F.lit("1000000000").cast("decimal(20,0)"), 9)
         ok = ssn_ok(d)
         out = F.when(ok, d).otherwise(out if out is not None else F.lit(None).cast("string"))
-    return F.concat_ws("-", F.substring(out, 1, 3), F.substring(out, 4, 2), F.substring(out, 6, 4))
+    return ssn_parts(F.substring(out, 1, 3), F.substring(out, 4, 2), F.substring(out, 6, 4))
+
+
+def ssn_parts(area: Column, group: Column, serial: Column) -> Column:
+    return F.concat(area, F.lit("-"), group, F.lit("-"), serial)  # null if a part is, unlike concat_ws
 
 
 def ssn_ok(d: Column) -> Column:

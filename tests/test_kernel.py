@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmask.errors import MaskError
+from sparkmask.functions import identifiers as ids
 from sparkmask.functions import kernel as k
 from sparkmask.functions.fpe import CHARSETS, Cipher, luhn_digit
 
@@ -86,3 +87,12 @@ def test_fpe_luhn():
     pan = "411111111111111" + luhn_digit("411111111111111")
     e = c.apply(pan)
     assert e[-1] == luhn_digit(e[:-1]) and c.apply(e, -1) == pan
+
+
+#: A digest none of whose four slices is an SSN, and one whose last slice is.
+NO_SSN, LAST_SSN = "0" * 64, "0" * 56 + f"{123456789:08x}"
+
+
+def test_ssn_is_null_without_an_allowed_slice(spark):
+    df = spark.createDataFrame([(NO_SSN,), (LAST_SSN,)], "h string")
+    assert [r.s for r in df.select(ids.ssn(F.col("h")).alias("s")).collect()] == [None, "123-45-6789"]
