@@ -65,6 +65,15 @@ def ssn_parts(area: Column, group: Column, serial: Column) -> Column:
     return F.concat(area, F.lit("-"), group, F.lit("-"), serial)  # null if a part is, unlike concat_ws
 
 
+def any_ssn(digest: Column) -> Column:
+    """`ssn`, and where it is null, a number that the digest's own digest draws from all that the rules allow."""
+    n = modulo(F.sha2(digest, 256), 0, 8, 898 * 99 * 9999)
+    serial, n = n % 9999 + 1, F.floor(n / 9999)
+    group, area = n % 99 + 1, F.floor(n / 99) + 1
+    area = F.when(area < 666, area).otherwise(area + 1)  # 001 to 899 without 666
+    return F.coalesce(ssn(digest), ssn_parts(digits(area, 3), digits(group, 2), digits(serial, 4)))
+
+
 def ssn_ok(d: Column) -> Column:
     return d.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
 
@@ -153,7 +162,7 @@ def ndc(digest: Column, layout: tuple[int, int, int] = (5, 4, 2)) -> Column:
 
 
 #: Providers that `strategy: faker` derives straight from the digest.
-IDENTIFIERS = {"synthetic_ssn": ssn, "synthetic_ein": ein, "synthetic_npi": npi, "synthetic_pan": pan, "synthetic_icd10": icd10, "synthetic_iban": iban, "synthetic_cusip": cusip, "synthetic_mrn": mrn, "synthetic_ndc": ndc}
+IDENTIFIERS = {"synthetic_ssn": any_ssn, "synthetic_ein": ein, "synthetic_npi": npi, "synthetic_pan": pan, "synthetic_icd10": icd10, "synthetic_iban": iban, "synthetic_cusip": cusip, "synthetic_mrn": mrn, "synthetic_ndc": ndc}
 
 
 def is_icd10(text: Column) -> Column:

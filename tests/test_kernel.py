@@ -96,3 +96,11 @@ NO_SSN, LAST_SSN = "0" * 64, "0" * 56 + f"{123456789:08x}"
 def test_ssn_is_null_without_an_allowed_slice(spark):
     df = spark.createDataFrame([(NO_SSN,), (LAST_SSN,)], "h string")
     assert [r.s for r in df.select(ids.ssn(F.col("h")).alias("s")).collect()] == [None, "123-45-6789"]
+
+
+def test_ssn_provider_gives_every_digest_an_allowed_number(spark):
+    make, valid = ids.IDENTIFIERS["synthetic_ssn"], ids.VALIDATORS["synthetic_ssn"]
+    df = spark.range(3000).select(F.concat(F.lit("0" * 56), F.lpad(F.hex("id"), 8, "0")).alias("h")).union(spark.createDataFrame([(NO_SSN,), (LAST_SSN,)], "h string"))
+    rows = df.select(make(F.col("h")).alias("s"), F.coalesce(valid(make(F.col("h"))), F.lit(False)).alias("ok"), ids.ssn(F.col("h")).alias("plain")).collect()
+    assert all(r.ok for r in rows) and len({r.s for r in rows}) > 2990
+    assert sum(r.plain is None for r in rows) == 3001 and rows[-1].s == "123-45-6789"  # digests with slices keep their number
