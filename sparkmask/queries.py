@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identifiers as ids
@@ -564,13 +564,20 @@ def window_tumbling(spark, d):
 
 @query(f"SELECT c_mktsegment, c_acctbal, n, total FROM (SELECT {key('cid', 'c_custkey')} AS k, c_mktsegment, CAST(CAST(floor(c_acctbal / 1000) * 1000 AS BIGINT) AS VARCHAR) AS c_acctbal, count(*) AS n, CAST(round(sum(o_totalprice), 0) AS BIGINT) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment, c_acctbal)")
 def flagship(spark, d):
-    """Customers and orders masked with their references intact, joined and summed."""
+    """Customers and orders masked with their references intact, joined and summed in the order of the orders' keys.
+
+    Sums of doubles depend on their order, and half a unit decides what they are rounded to: a window adds row by row,
+    whatever the partitions, and spills.
+    """
     config = fk_config("preserve")
     config["tables"]["customer"]["columns"] += [{"name": "c_name", "strategy": "redact"}, {"name": "c_acctbal", "strategy": "bucketize", "provider_config": {"width": 1000}}]
     s = {"customer": t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "orders": t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")}
     out = run_pipeline(spark, config, s).tables
     j = out["orders"].join(out["customer"], out["orders"]["o_custkey"] == out["customer"]["c_custkey"])
-    return j.groupBy("c_custkey", "c_mktsegment", "c_acctbal").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 0).cast("long").alias("total")).drop("c_custkey")
+    w = Window.partitionBy("c_custkey", "c_mktsegment", "c_acctbal").orderBy("o_orderkey", "o_totalprice")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = j.select("c_mktsegment", "c_acctbal", F.count(F.lit(1)).over(so_far).alias("n"), F.sum("o_totalprice").over(so_far).alias("total"), F.lead(F.lit(1)).over(w).isNull().alias("last"))
+    return sums.where("last").select("c_mktsegment", "c_acctbal", "n", F.round("total", 0).cast("long").alias("total"))
 
 
 def derived_key(column: str, ns: str):
