@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,8 @@ DATE_SENTINELS = ["0001-01-01", "1900-01-01", "1899-12-31", "1970-01-01", "9999-
 NUMBER_SENTINELS = [-1.0, -999.0, 999999999.0, -2147483648.0]
 TEXT_SENTINELS = ["n/a", "na", "null", "none", "nil", "tbd", "tba", "todo", "unknown", "unk", "missing", "no data", "n.a.", "?", "-", "--", "...", "x", "xxx", "xxxx", "xxxxx"]
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
+#: Cells that a pass of `exact_quantiles` puts values in: to each factor of two in the first pass, to each range in the others.
+OCTAVE_CELLS, RANGE_CELLS = 16, 4096
 
 
 def numeric(kind: T.DataType) -> bool:
@@ -43,12 +46,59 @@ def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return base.crossJoin(distinct).select(F.explode(rows).alias("r")).select("r.*")  # one row by one row
 
 
+def ranked_cells(placed: DataFrame) -> DataFrame:
+    """(part, cell, n, lo, hi, before, total): values `x` counted by cell, and the rows of the part in earlier cells and in all."""
+    n = placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    w = Window.partitionBy("part")  # as many rows as a part has cells
+    so_far = w.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return n.select("*", (F.sum("n").over(so_far) - F.col("n")).alias("before"), F.sum("n").over(w).alias("total"))
+
+
+def by_part(part: Column, values: list[Column]) -> Column:
+    out = F.when(part == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(part == i, v)
+    return out
+
+
+def exact_quantiles(values: DataFrame, probabilities: list[float]) -> list[float | None]:
+    """Quantiles of the finite column `x` by linear interpolation; null without rows.
+
+    Each pass counts rows by cell and splits the cells of the wanted ranks further, until each holds one value. The first pass has
+    cells by sign and logarithm, so later ones split a range of 2^(1/16) at most and six passes do for any doubles. Tasks hold
+    cells, never all distinct values, and the driver gets two cells a quantile at most.
+    """
+    x, values = F.col("x"), values.where("x is not null").select("x")
+    octave = F.signum("x") * (F.floor(F.log2(F.abs(x)) * OCTAVE_CELLS) + 2000 * OCTAVE_CELLS)  # the logarithm of 0 is null
+    first = ranked_cells(values.select("x", F.lit(0).alias("part"), F.coalesce(octave, F.lit(0.0)).alias("cell")))
+    at = [F.lit(p) * (F.col("total") - 1) for p in probabilities]
+    rows = first.where(F.exists(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).collect()
+    if not rows:
+        return [None] * len(probabilities)
+    spots = [p * (rows[0]["total"] - 1) for p in probabilities]
+    ranks, found = {f(a) for a in spots for f in (math.floor, math.ceil)}, {}
+    parts = [(r["lo"], r["hi"], r["before"], r["n"]) for r in rows]
+    while True:
+        for lo, hi, before, n in parts:
+            if lo == hi:
+                found |= {r: lo for r in ranks if before <= r < before + n}
+        if not (parts := [p for p in parts if p[0] < p[1]]):
+            break
+        part = F.coalesce(*[F.when(x.between(lo, hi), i) for i, (lo, hi, *_) in enumerate(parts)])
+        cell = by_part(F.col("part"), [F.least(F.floor((x - lo) / (F.lit(hi) - lo) * RANGE_CELLS), F.lit(RANGE_CELLS - 1)) for lo, hi, *_ in parts])
+        wanted = by_part(F.col("part"), [F.array(*[F.lit(r - before).cast("long") for r in sorted(ranks) if before <= r < before + n]) for _, _, before, n in parts])
+        cells = ranked_cells(values.select("x", part.alias("part")).where("part is not null").select("x", "part", cell.alias("cell")))
+        rows = cells.where(F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).collect()
+        parts = [(r["lo"], r["hi"], parts[r["part"]][2] + r["before"], r["n"]) for r in rows]
+    return [found[lo] if found[lo] == found[hi] else (hi - a) * found[lo] + (a - lo) * found[hi] for a in spots for lo, hi in [(math.floor(a), math.ceil(a))]]
+
+
 def numeric_stats(df: DataFrame, column: str) -> DataFrame:
-    """One row: n, mean, std (sample, 0 for one value), min, max and five quantiles by linear interpolation."""
+    """One row: n, mean, std (sample, 0 for one value), min, max and five quantiles by linear interpolation, which are found at once."""
     c = finite(F.col(column), df.schema[column].dataType).cast("double")
-    q = F.percentile(c, F.array(*map(F.lit, QUANTILES)))
-    out = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.when(F.count(c) > 0, 0.0)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), q.alias("q"))
-    return out.select("n", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{int(100 * p):02d}") for i, p in enumerate(QUANTILES)])
+    q = exact_quantiles(df.select(c.alias("x")), QUANTILES)
+    out = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.when(F.count(c) > 0, 0.0)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return out.select("*", *[F.lit(v).cast("double").alias(f"p{int(100 * p):02d}") for p, v in zip(QUANTILES, q, strict=True)])
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

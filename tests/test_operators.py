@@ -288,3 +288,34 @@ def test_nearest_of_all_rows(spark, rows):
     df = quality.nearest(a, b, ["v"], ["c", "d"], cap=None, key="id") if rows > 40 else quality.nearest_of_all(a, b, ["v"], ["c", "d"], "id", rows)
     got = {x.id: x.distance for x in df.collect()}
     assert len(got) == 5200 and all(got[o[0]] == pytest.approx(min(far(o, s) for s in src)) for o in out)
+
+
+def test_quantiles_are_exact_without_all_values_in_one_task(spark, monkeypatch):
+    rng = random.Random(4)
+    cases = {
+        "mixed": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(900)] + [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308],
+        "near": [1e5 + i * 2**-36 for i in range(700)] + [1e300, -3.0], "copies": [7.25] * 500 + [7.5] * 500 + [0.1], "integers": [float(i % 97) for i in range(1000)],
+        "pair": [1.0, 2.0], "one": [-4.5], "none": [],
+    }
+    for cells in (2, 4096):
+        monkeypatch.setattr(profile, "RANGE_CELLS", cells)
+        for name, xs in cases.items():
+            if cells == 2 and name in ("mixed", "near"):  # as many passes as bits
+                continue
+            rng.shuffle(xs)
+            df = spark.createDataFrame([(v,) for v in [*xs, None, float("nan"), float("inf")]], "x double").repartition(5)
+            row = profile.numeric_stats(df, "x").first()
+            order = sorted(xs)
+            for p in profile.QUANTILES:
+                got = row[f"p{int(100 * p):02d}"]
+                if not xs:
+                    assert got is None and row["n"] == 0
+                    continue
+                a = p * (len(xs) - 1)
+                lo, hi = int(a), -int(-a // 1)
+                assert got == (order[lo] if order[lo] == order[hi] else (hi - a) * order[lo] + (a - lo) * order[hi]), (name, p)
+
+
+def test_quantiles_have_no_aggregate_of_all_values(spark):
+    plan = profile.numeric_stats(spark.range(100).selectExpr("cast(id as double) as x"), "x")._jdf.queryExecution().toString()
+    assert "percentile" not in plan
