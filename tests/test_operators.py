@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkmask.errors import MaskError
+from sparkmask.functions import detectors
 from sparkmask.functions.detectors import spans
 from sparkmask.functions.expressions import column_expression
 from sparkmask.operators import audit, discovery, generate, profile, quality, relations, transforms, vault, walks
@@ -319,3 +320,26 @@ def test_quantiles_are_exact_without_all_values_in_one_task(spark, monkeypatch):
 def test_quantiles_have_no_aggregate_of_all_values(spark):
     plan = profile.numeric_stats(spark.range(100).selectExpr("cast(id as double) as x"), "x")._jdf.queryExecution().toString()
     assert "percentile" not in plan
+
+
+def test_texts_are_redacted_in_slices():
+    """A worker makes objects of one slice of a batch of texts at a time."""
+    import pyarrow as pa
+
+    done = []
+    batches = iter([pa.array([str(i) for i in range(detectors.SLICE * 3 + 1)]), pa.array([], pa.string()), pa.array([None, "x"])])
+    out = detectors.in_slices(batches, lambda x: done.append(x) or x)
+    assert len(next(out)) == len(done) == detectors.SLICE
+    assert [len(x) for x in out] == [detectors.SLICE, detectors.SLICE, 1, 2] and done[-2:] == [None, "x"]
+
+
+def test_texts_are_redacted_beside_other_python_functions(spark):
+    """Batches that are no multiple of a slice, nulls, two columns of texts and a column of another Python function in one select."""
+    n = detectors.SLICE * 2 + 7
+    text = lambda i: None if i % 11 == 0 else f"{i} mail a{i}@x.org or 078-05-112{i % 10}"
+    df = spark.createDataFrame([(i, text(i), text(i + 1), f"{i:05d}") for i in range(n)], "id int, a string, b string, c string").coalesce(1)
+    mask = {"strategy": "text_redact", "provider_config": {"label_token": True}}
+    out = run_pipeline(spark, config([{"name": "a", **mask}, {"name": "b", **mask}, {"name": "c", "strategy": "fpe", "namespace": "f"}]), {"t": df}).tables["t"].orderBy("id").collect()
+    want = lambda i: None if i % 11 == 0 else f"{i} mail [EMAIL] or [SSN]"
+    assert [(r.a, r.b) for r in out] == [(want(i), want(i + 1)) for i in range(n)]
+    assert len({r.c for r in out}) == n and all(len(r.c) == 5 for r in out)
